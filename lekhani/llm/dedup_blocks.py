@@ -73,17 +73,16 @@ def exact_dedup(docs: DataFrame, *, block_bytes: int = 4096, bucket: Callable[[C
         state = _named(start, lambda: start.select(F.explode("units").alias("unit")), bucket)
 
     state = state.withColumn("blocks", F.size("names"))
-    longest = state.agg(F.max("blocks")).first()[0] or 1
+    done, longest = [], state.agg(F.max("blocks")).first()[0] or 1
     while longest > 1:
-        last = F.size("names") - 1
+        done.append(state.where("size(names) = 1"))
         pairs = F.transform(F.sequence(F.lit(0), F.expr("(size(names) - 1) div 2")), lambda j: F.struct(F.get("names", j * 2).alias("a"), F.get("names", j * 2 + 1).alias("b")))
-        state = state.withColumn("units", F.when(last > 0, pairs))
-        single = state.where("units is null").drop("units")
-        many = state.where("units is not null").drop("names")
-        many = _named(many, lambda many=many: many.select(F.explode("units").alias("unit")), bucket)
-        state = many.unionByName(single)
+        many = state.where("size(names) > 1").withColumn("units", pairs).drop("names")
+        state = cut(_named(many, lambda many=many: many.select(F.explode("units").alias("unit")), bucket))
         longest = (longest + 1) // 2
-    state = cut(state.select("doc_id", "rid", "text_sha256", "n_bytes", "blocks", F.col("names")[0].alias("name")))
+    for part in done:
+        state = state.unionByName(part)
+    state = state.select("doc_id", "rid", "text_sha256", "n_bytes", "blocks", F.col("names")[0].alias("name"))
 
     best = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "rid"))
     groups = state.groupBy("blocks", "name").agg(best.alias("_best"), F.count(F.lit(1)).alias("group_size"))
