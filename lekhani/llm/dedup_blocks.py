@@ -27,7 +27,6 @@ def _named(state: DataFrame, again: Callable[[], DataFrame], bucket: Callable[[C
     """
     distinct = again().select(bucket(F.col("unit")).alias("h"), "unit").distinct()
     several = distinct.groupBy("h").count().where("count > 1").select("h")
-    several = cut(several)
     first = F.transform("units", lambda u: F.struct(bucket(u).alias("h"), F.lit(1).alias("r")))
     if several.isEmpty():
         return state.withColumn("names", first).drop("units")
@@ -60,7 +59,7 @@ def exact_dedup(docs: DataFrame, *, block_bytes: int = 4096, bucket: Callable[[C
     if bucket is F.xxhash64:
         # Names are settled in the text's own row; the text itself goes to the check of buckets only.
         state = cut(start.withColumn("names0", F.transform("units", lambda u: F.struct(bucket(u).alias("h"), F.lit(1).alias("r")))).drop("units"))
-        units = cut_up(clean).select(F.explode("units").alias("unit"))
+        units = cut_up(clean).select(F.explode_outer("units").alias("unit"))
         distinct = units.select(bucket(F.col("unit")).alias("h"), "unit").distinct()
         if distinct.groupBy("h").count().where("count > 1").isEmpty():
             state = state.withColumnRenamed("names0", "names")
@@ -70,7 +69,7 @@ def exact_dedup(docs: DataFrame, *, block_bytes: int = 4096, bucket: Callable[[C
         state = None
     if state is None:
         start = cut(start)
-        state = _named(start, lambda: start.select(F.explode("units").alias("unit")), bucket)
+        state = _named(start, lambda: start.select(F.explode_outer("units").alias("unit")), bucket)
 
     state = state.withColumn("blocks", F.size("names"))
     done, longest = [], state.agg(F.max("blocks")).first()[0] or 1
@@ -78,7 +77,7 @@ def exact_dedup(docs: DataFrame, *, block_bytes: int = 4096, bucket: Callable[[C
         done.append(state.where("size(names) = 1"))
         pairs = F.transform(F.sequence(F.lit(0), F.expr("(size(names) - 1) div 2")), lambda j: F.struct(F.get("names", j * 2).alias("a"), F.get("names", j * 2 + 1).alias("b")))
         many = state.where("size(names) > 1").withColumn("units", pairs).drop("names")
-        state = cut(_named(many, lambda many=many: many.select(F.explode("units").alias("unit")), bucket))
+        state = cut(_named(many, lambda many=many: many.select(F.explode_outer("units").alias("unit")), bucket))
         longest = (longest + 1) // 2
     for part in done:
         state = state.unionByName(part)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dedup_blocks, mixing, packing, sharding, token_files, url_templates
+from . import dedup_blocks, jaccard, mixing, packing, sharding, token_files, url_templates
 from .common import table
 
 
@@ -37,9 +37,13 @@ def op7_spf_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op8_size_aware_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_pareto_mix, op4_block_naming, op5_url_templates, op6_kd_shards, op7_spf_packing, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op3_pareto_mix, op4_block_naming, op5_url_templates, op6_kd_shards, op7_spf_packing, op8_size_aware_jaccard, op10_token_files)}
 ORACLES = {"op3_pareto_mix": mixing.ORACLE, "op4_block_naming": dedup_blocks.ORACLE}
