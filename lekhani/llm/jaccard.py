@@ -14,27 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, small_batches
 from .components import components
-
-_P = np.uint64(0x9E3779B97F4A7C15)
-_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, np.uint64(base), np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
-_BASE = 0xD6E8FEB86659FD93
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS: list[np.ndarray] = [_powers(_BASE, 1 << 16), _powers(_INVERSE, 1 << 16)]
-
+from .hashing import GOLDEN, mix, spans
 
 def shingles(text: str | None, n: int) -> np.ndarray:
     """Sorted distinct 64-bit fingerprints of the runs of ``n`` words; of all words as one if they are fewer.
@@ -44,9 +24,6 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     b = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8)
     if not len(b):
         return np.empty(0, np.uint64)
-    if len(b) >= len(_POWERS[0]):
-        size = 1 << len(b).bit_length()
-        _POWERS[:] = [_powers(_BASE, size), _powers(_INVERSE, size)]
     inside = np.empty(len(b) + 2, bool)
     inside[0] = inside[-1] = False
     np.logical_not((b == 32) | ((b >= 9) & (b <= 13)), out=inside[1:-1])
@@ -54,13 +31,11 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     start, end = edge[::2], edge[1::2]
     if not len(start):
         return np.empty(0, np.uint64)
-    total = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * _POWERS[0][: len(b)], out=total[1:])
-    w = _mix((total[end] - total[start]) * _POWERS[1][start] + (end - start).astype(np.uint64))
+    w = spans(b, start, end)
     k = min(n, len(w))
     h = np.full(len(w) - k + 1, np.uint64(k), np.uint64)
     for i in range(k):
-        h = _mix(h * _P + w[i : len(w) - k + 1 + i])
+        h = mix(h * GOLDEN + w[i : len(w) - k + 1 + i])
     return np.unique(h)
 
 
@@ -83,18 +58,22 @@ class Plan:
     def subsets(self, size: int) -> int:
         return sum(comb(size, i) for i in range(size - self.least(size) + 1))
 
-    def parts(self, top: int) -> tuple[int, int]:
-        """Parts of a class whose largest size is ``top``, and the empty parts that a set may have in it."""
+    def parts(self, top: int) -> tuple[int, int, int]:
+        """Of a class whose largest size is ``top``: the parts, the empty parts that a set may have, the parts that agree.
+
+        ``d`` elements that differ spoil ``d`` parts at most; of the others, a set without more empty parts than allowed
+        has the last number at least that are not empty. (A set with more emits empty parts as well.)
+        """
         d = self.differ(top, top)
-        spare = 2 + d // 32
-        return d + 1 + spare, spare
+        empty, agree = 2 + d // 32, 1 + d // 8
+        return d + empty + agree, empty, agree
 
     @property
     def boundary(self) -> int:
         """The largest size whose subsets cost no more than its parts in the first class beyond."""
         size = 1
         while True:
-            parts, _ = self.parts(int((size + 1) * self.ratio))
+            parts, *_ = self.parts(int((size + 1) * self.ratio))
             strong = (size + 1) / parts >= self.weak
             if self.subsets(size + 1) > 2 * parts * (1 if strong else self.weak):
                 return size
@@ -110,25 +89,30 @@ class Plan:
             low = top + 1
         return out
 
-    def signatures(self, s: np.ndarray) -> np.ndarray:
-        """Equal numbers for linked sets: of whole subsets if small, of the parts that agree if large."""
+    def signatures(self, s: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """[(need, numbers), ...]: two linked sets have ``need`` numbers in common in one of the entries.
+
+        The numbers stand for whole subsets if the sets are small, else for the parts of a class.
+        """
         size, out = len(s), []
-        h = _mix(s)
+        h = mix(s)
         if size <= self.boundary:
             whole = np.add.reduce(h)
+            keys = []
             for i in range(size - self.least(size) + 1):
                 gone = np.array([np.add.reduce(h[list(c)]) for c in combinations(range(size), i)], np.uint64) if i else np.zeros(1, np.uint64)
-                out.append(_mix((whole - gone) * _P + np.uint64(size - i)))
+                keys.append(mix((whole - gone) * GOLDEN + np.uint64(size - i)))
+            out.append((1, np.unique(np.concatenate(keys))))
         total = np.zeros(size + 1, np.uint64)
         np.cumsum(h, out=total[1:])
         for low, top in self.classes(size):
-            m, spare = self.parts(top)
+            m, empty, agree = self.parts(top)
             part = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
             at = np.searchsorted(part, np.arange(m + 1, dtype=np.uint64))
             full = at[1:] > at[:-1]
-            sums = _mix((total[at[1:]] - total[at[:-1]]) ^ _mix(np.arange(m, dtype=np.uint64) + np.uint64(low << 32)))
-            out.append(sums if m - int(full.sum()) > spare else sums[full])
-        return np.concatenate(out) if out else np.empty(0, np.uint64)
+            sums = mix((total[at[1:]] - total[at[:-1]]) ^ mix(np.arange(m, dtype=np.uint64) + np.uint64(low << 32)))
+            out.append((agree, sums if m - int(full.sum()) > empty else sums[full]))
+        return out
 
 
 def linked(sets: list[np.ndarray], share: int, sides: list[int] | None = None) -> list[tuple[int, int]]:
@@ -207,16 +191,20 @@ def _check(rows: DataFrame, words: int, share: int, parts: int) -> DataFrame:
 
 def _name(s: np.ndarray) -> int:
     """One number for a set."""
-    total = np.add.reduce(_mix(s ^ _P), keepdims=True)  # as an array, which wraps without a warning
-    return int(_mix(total + np.array([len(s)], np.uint64) * _P).view(np.int64)[0])
+    total = np.add.reduce(mix(s ^ GOLDEN), keepdims=True)  # as an array, which wraps without a warning
+    return int(mix(total + np.array([len(s)], np.uint64) * GOLDEN).view(np.int64)[0])
 
 
-def jaccard_components(docs: DataFrame, *, words: int = 4, share: int = 85, block: int = 512, leaders: int = 32, broadcast_rows: int = 500_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, words: int = 4, share: int = 85, few: int = 16, block: int = 512, leaders: int = 32, broadcast_rows: int = 500_000) -> DataFrame:
     """Components of documents linked by 100 * intersection >= ``share`` * union of their sets of ``words``-word shingles.
 
-    1. Each set emits signatures such that linked sets share one (``Plan``); a task emits a set it has met once.
-    2. Sets that share a signature are candidates; each signature links its sets to the smallest only, so the links
-       are no more than the signatures. Components of these links are clusters that no true link leaves.
+    1. Each set emits signatures such that linked sets share enough of one kind (``Plan``); a task emits a set it has
+       met once.
+    2. Signatures that one set has alone are dropped, then sets with fewer left than linked sets share. A signature of
+       up to ``few`` sets gives its pairs, one of more is a hub. Pairs that share enough, hubs aside, are candidates.
+       Sets that could share enough by hubs alone are linked to the smallest of each hub, leaving out as many of their
+       largest hubs as linked sets can spare. So candidates are at most in proportion to signatures; components of
+       candidates are clusters that no true link leaves.
     3. The texts of clusters, one for each set, are compared exactly through inverted lists. A cluster beyond ``block``
        sets is dealt into blocks, each with the cluster's ``leaders``; if that doesn't connect it, all blocks are compared
        but those that are already one component. Only links that connect something are returned.
@@ -242,16 +230,29 @@ def jaccard_components(docs: DataFrame, *, words: int = 4, share: int = 85, bloc
                     sig.append(None)
                 else:
                     met.add(name[-1])
-                    sig.append(plan.signatures(s).view(np.int64))
+                    sig.append([{"need": k, "keys": x.view(np.int64)} for k, x in plan.signatures(s)])
             yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "text_hash": f["text_hash"], "n": n, "name": pd.array(name, "Int64"), "sig": sig})
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text"))
-    every = cut(text.mapInPandas(sets, "doc_id long, text_hash long, n long, name long, sig array<long>"))
-
-    emitted = every.where("sig is not null").select("name", F.explode("sig").alias("key"))
-    same = Window.partitionBy("key").orderBy("name")
-    links = emitted.withColumn("b", F.first("name").over(same)).where("name <> b").select(F.col("name").alias("a"), "b")
-    clusters = cut(components(links).select(F.col("node").alias("name"), F.col("root").alias("cluster")))
+    every = cut(text.mapInPandas(sets, "doc_id long, text_hash long, n long, name long, sig array<struct<need: int, keys: array<long>>>"))
+
+    emitted = every.where("sig is not null").select("name", F.explode("sig").alias("s")).select("name", "s.need", F.explode("s.keys").alias("key"))
+    same = Window.partitionBy("key")
+    order = same.orderBy("name")
+    last = F.lag("name").over(order)  # a set that several tasks have emitted counts once
+    met = emitted.withColumn("last", last).where("last is null or last <> name")
+    met = met.withColumn("c", F.count(F.lit(1)).over(same)).where("c > 1")
+    own = Window.partitionBy("name", "need")
+    met = met.withColumn("n", F.count(F.lit(1)).over(own)).withColumn("h", F.count(F.when(F.col("c") > few, 1)).over(own))
+    met = met.withColumn("r", F.row_number().over(own.orderBy(F.col("c").desc(), "key")))  # the largest hubs first
+    met = cut(met.where("n >= need").select("name", "need", "key", "c", "h", "r"))
+    small = met.where(F.col("c") <= few).withColumn("before", F.collect_list(F.struct("name", "h")).over(order.rowsBetween(1 - few, -1)))
+    pairs = small.select(F.col("name").alias("a"), "need", "h", F.explode("before").alias("x"))
+    pairs = pairs.groupBy("a", F.col("x.name").alias("b"), "need").agg(F.count(F.lit(1)).alias("k"), F.min(F.least("h", "x.h")).alias("h"))
+    pairs = pairs.where("k >= need - h").select("a", "b")
+    hubs = met.where((F.col("c") > few) & F.expr("h >= need and r >= need")).withColumn("b", F.first("name").over(order))
+    hubs = hubs.where("name <> b").select(F.col("name").alias("a"), "b").distinct()
+    clusters = cut(components(pairs.unionByName(hubs)).select(F.col("node").alias("name"), F.col("root").alias("cluster")))
 
     # One document for each set of a cluster; a hash of the text tells rows of one doc_id apart.
     member = every.where("n > 0").select("name", "doc_id", "text_hash").join(clusters, "name")
