@@ -1,86 +1,123 @@
-"""Token ids of whole texts by the tokenizers library, with repeated words encoded once."""
+"""Token ids of whole texts by the tokenizers library, with repeated chunks encoded once."""
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 
+from .hashing import spans
+
 #: White space beyond the four usual characters, where cutting at spaces could change a tokenizer's pieces.
 _ODD = re.compile("[\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200b\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]")
 _ENCODERS: dict = {}
 
 
+#: Kinds of bytes: 1 white space, 2 ASCII letters, 3 ASCII punctuation but the apostrophe, which contractions need.
+_KIND = np.zeros(256, np.uint8)
+_KIND[[9, 10, 13, 32]] = 1
+_KIND[[*range(65, 91), *range(97, 123)]] = 2
+_KIND[[x for x in (*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)) if x != 39]] = 3
+
+
+def _cuts(b: np.ndarray) -> np.ndarray:
+    """Whether a cut before each byte, after the first, is always an edge of the tokenizers' pieces.
+
+    So it is where white space begins, between an ASCII letter and punctuation, and after a single line feed.
+    """
+    k = _KIND[b]
+    p, q = k[:-1], k[1:]
+    out = (q == 1) & (p != 1) | (p == 2) & (q == 3) | (p == 3) & (q == 2)
+    feed = (b[1:-1] == 10) & (k[:-2] != 1) & (k[2:] != 1)
+    out[1:] |= feed
+    return out
+
+
 class Encoder:
     """Encodes texts as ``Tokenizer.encode(text, add_special_tokens=False)`` does.
 
-    Both public vocabularies start a new piece at a space after a word, so a text's ids are those of its words joined.
-    Ids of words are kept, about ``keep`` of them, and looked up; only new words go to the library. Texts with odd
-    white space are encoded as a whole. Strings of special tokens in a text are ordinary text.
+    Texts are cut where both public tokenizers always cut; the ids of each different chunk are looked up by a 64-bit
+    fingerprint, and only new chunks go to the library. About ``keep`` chunks are kept. Texts with odd white space
+    are encoded as a whole. Strings of special tokens in a text are ordinary text.
     """
 
-    def __init__(self, path: str, keep: int = 1_000_000):
+    def __init__(self, path: str, keep: int = 1_500_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.keep = keep
-        self.spaced = self._ids("a b") != self._ids("a  b")  # spaces count: a word goes with the space before it
         self._clear()
 
-    def _ids(self, text: str) -> list[int]:
-        return self.tok.encode(text, add_special_tokens=False).ids
-
     def _clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.starts, self.lengths, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
-        self._learn([""])
+        self.flat, self.used, self.count = np.zeros(1 << 16, np.uint32), 0, 0
+        self.tables = [tuple(np.empty(0, t) for t in (np.uint64, np.int64, np.int64))] * 2  # main and recent: names, starts, lengths
 
-    def _learn(self, new: list[str]) -> None:
-        sep = " " if self.spaced else ""
-        got = [x.ids for x in self.tok.encode_batch_fast([sep + w for w in new], add_special_tokens=False)]
+    def _learn(self, names: np.ndarray, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [x.ids for x in self.tok.encode_batch_fast(chunks, add_special_tokens=False)]
         n = np.fromiter(map(len, got), np.int64, len(got))
-        known, total = len(self.index), int(n.sum())
-        while known + len(new) > len(self.starts):
-            self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
-        while self.used + total > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.starts[known : known + len(new)] = self.used + np.cumsum(n) - n
-        self.lengths[known : known + len(new)] = n
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in got for i in x), np.uint32, total)
+        total = int(n.sum())
+        if self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), total), np.uint32)])
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(got), np.uint32, total)
+        starts = self.used + np.cumsum(n) - n
         self.used += total
-        self.index.update(zip(new, range(known, known + len(new)), strict=True))
-
-    def _words(self, text: str) -> tuple[list[int] | None, list[str]]:
-        """Ids to put first, words to look up after them; all ids if there are no words to look up."""
-        if _ODD.search(text):
-            return self._ids(text), []
-        if not self.spaced:
-            return None, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        if "  " in text or "\n " in text or "\t " in text or "\r " in text:
-            return self._ids(text), []
-        head, *rest = text.split(" ")
-        return self._ids(head) if head else None, rest
+        self.count += len(names)
+        recent = self._join(self.tables[1], (names, starts, n))
+        if len(recent[0]) * 4 > len(self.tables[0][0]):
+            self.tables = [self._join(self.tables[0], recent), tuple(x[:0] for x in recent)]
+        else:
+            self.tables[1] = recent
+        return starts, n
+
+    @staticmethod
+    def _join(a: tuple, b: tuple) -> tuple:
+        both = [np.concatenate(x) for x in zip(a, b, strict=True)]
+        order = np.argsort(both[0], kind="stable")
+        return tuple(x[order] for x in both)
+
+    def _look(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and lengths; length -1 where unknown."""
+        starts, lengths = np.zeros(len(names), np.int64), np.full(len(names), -1, np.int64)
+        for known, s, n in self.tables:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, names), len(known) - 1)
+                hit = known[at] == names
+                starts[hit], lengths[hit] = s[at[hit]], n[at[hit]]
+        return starts, lengths
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self._words(t) for t in texts]
-        if len(self.index) > self.keep:
-            self._clear()
-        new: dict[str, None] = {}
-        for _, parts in cut:
-            new.update(dict.fromkeys(p for p in parts if p not in self.index))
-        if new:
-            self._learn(list(new))
+        plain = [bool(t) and not _ODD.search(t) for t in texts]
+        coded = [t.encode("utf-8", "surrogatepass") for t, ok in zip(texts, plain, strict=True) if ok]
         out = []
-        for head, parts in cut:
-            ids = np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts))
-            n = self.lengths[ids]
+        if coded:
+            data = b"".join(coded)
+            b = np.frombuffer(data, np.uint8)
+            edge = np.zeros(len(b) + 1, bool)
+            edge[1:-1] = _cuts(b)
+            firsts = np.concatenate([[0], np.cumsum([len(x) for x in coded])])
+            edge[firsts] = True
+            where = np.flatnonzero(edge)
+            start, end = where[:-1], where[1:]
+            if self.count > self.keep:
+                self._clear()
+            names, first, back = np.unique(spans(b, start, end), return_index=True, return_inverse=True)
+            at, n = self._look(names)
+            new = np.flatnonzero(n < 0)
+            if len(new):
+                chunks = [data[x:y].decode("utf-8", "surrogatepass") for x, y in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)]
+                at[new], n[new] = self._learn(names[new], chunks)
+            at, n = at[back], n[back]
             ends = np.cumsum(n)
-            total = int(ends[-1]) if len(ends) else 0
-            got = self.flat[np.arange(total) + np.repeat(self.starts[ids] - (ends - n), n)]
-            out.append(np.concatenate([np.array(head, np.uint32), got]) if head else got)
-        return out
+            flat = self.flat[np.arange(int(ends[-1])) + np.repeat(at - (ends - n), n)]
+            cut = np.concatenate([[0], ends])[np.searchsorted(start, firsts[1:-1])]
+            out = np.split(flat, cut)
+        got = iter(out)
+        return [next(got) if ok else np.array(self.tok.encode(t, add_special_tokens=False).ids if t else [], np.uint32) for t, ok in zip(texts, plain, strict=True)]
 
 
 def encoder(path: str) -> Encoder:
@@ -90,7 +127,7 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def encode(texts: Iterator[str], path: str, chars: int = 4_000_000) -> Iterator[np.ndarray]:
+def encode(texts: Iterator[str], path: str, chars: int = 2_000_000) -> Iterator[np.ndarray]:
     """The ids of each text in order, some millions of characters at a time."""
     e, some, size = encoder(path), [], 0
     for t in texts:
