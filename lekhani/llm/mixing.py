@@ -41,13 +41,13 @@ def mix(docs: DataFrame, *, weights: tuple = WEIGHTS, most: int = 3, seed: str =
     the source's words are reached. The size that is fixed is the number of words: a document that would go over is
     passed by, and ``rounds - 1`` more passes fill the rest from what is left and fits.
 
-    Returns doc_id, source, size, source_size, target, copies, taken (= copies * size).
+    Returns doc_id, text_hash, source, size, source_size, target, copies, taken (= copies * size).
     Null text has size 0; null sources form one source; null doc_ids share one u; rows that repeat are separate rows;
     an empty table gives no rows. Other columns are ignored.
     """
     u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
     weight = F.lit(1.0) if weight_col is None else F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0))
-    d = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"), u.alias("_u"), weight.alias("_wt")))
+    d = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"), u.alias("_u"), weight.alias("_wt"), F.xxhash64("text").alias("text_hash")))
 
     per = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_n"), F.sum(F.col("_wt") * F.col("size")).alias("_ws"))
     goal = source_targets(per.select("source", "source_size"), weights, most)
@@ -62,7 +62,7 @@ def mix(docs: DataFrame, *, weights: tuple = WEIGHTS, most: int = 3, seed: str =
     pieces = F.greatest(F.lit(1), F.ceil(F.col("_n") / piece))
     x = x.withColumn("_b", F.coalesce(F.floor(F.col("_q") / (1 + F.col("_q")) * pieces), F.lit(-1)))
     x = x.withColumn("_extra", F.lit(0).cast("long"))
-    keep = ["doc_id", "source", "size", "source_size", "target", "_whole", "_q", "_b", "_extra"]
+    keep = ["doc_id", "text_hash", "source", "size", "source_size", "target", "_whole", "_q", "_b", "_extra"]
     x = x.select(*keep)
     for _ in range(rounds):
         done = x.groupBy("source").agg(F.max("target").alias("_t"), F.sum((F.col("_whole") + F.col("_extra")) * F.col("size")).alias("_done"))
@@ -73,7 +73,18 @@ def mix(docs: DataFrame, *, weights: tuple = WEIGHTS, most: int = 3, seed: str =
         y = running(y, ["source"], "_b", ["_q", "doc_id", "size"], "_v", "_cum")
         x = cut(y.withColumn("_extra", F.when(fits & (F.col("_cum") <= F.col("_rest")), F.lit(1)).otherwise(F.col("_extra")).cast("long")).select(*keep))
     copies = (F.col("_whole") + F.col("_extra")).cast("long")
-    return x.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return x.select("doc_id", "text_hash", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """``docs`` with each row as often as ``mix`` takes it; all columns as they are.
+
+    Rows with the same doc_id and text, which exact dedup leaves none of, are all taken as often as the one taken most.
+    """
+    found = mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h")).agg(F.max("copies").alias("_n"))
+    x = docs.withColumn("_x", F.xxhash64("text"))
+    x = x.join(found, x["doc_id"].cast("long").eqNullSafe(F.col("_i")) & (x["_x"] == F.col("_h")))
+    return x.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*docs.columns)
 
 
 ORACLE = r"""

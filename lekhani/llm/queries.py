@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dedup_blocks, jaccard, mixing, packing, sharding, token_files, url_templates
+from . import ann, dedup_blocks, jaccard, langid, mixing, packing, pii, sharding, token_files, url_templates
 from .common import table
 
 
@@ -15,6 +15,15 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op2_rank_order_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op3_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -41,9 +50,34 @@ def op8_size_aware_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+def op9_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_pareto_mix, op4_block_naming, op5_url_templates, op6_kd_shards, op7_spf_packing, op8_size_aware_jaccard, op10_token_files)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_adaptive_scan,
+        op2_rank_order_langid,
+        op3_pareto_mix,
+        op4_block_naming,
+        op5_url_templates,
+        op6_kd_shards,
+        op7_spf_packing,
+        op8_size_aware_jaccard,
+        op9_crf_pii,
+        op10_token_files,
+        pipeline,
+    )
+}
 ORACLES = {"op3_pareto_mix": mixing.ORACLE, "op4_block_naming": dedup_blocks.ORACLE}
