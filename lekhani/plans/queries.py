@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.text import deletes
+from ..operators import align, decode, em, evaluate, fuzzy, variants
+from ..operators import suggest as ranking
+from ..sources import corpus as src
 from ..sources.corpus import SOURCE_SQL, SOURCES
 from .catalogue import CATALOGUE
 
@@ -22,3 +28,105 @@ def _checked(uses: list[str], sql: str) -> str:
 
 QUERIES = {name: _stated(uses, sql) for name, (uses, sql, *_) in CATALOGUE.items()}
 ORACLES = {name: _checked(uses, other[0] if other else sql) for name, (uses, sql, *other) in CATALOGUE.items()}
+
+_LM = {"start": "word_start", "unigram": "kn_unigram", "backoff": "kn_backoff", "bigram": "kn_bigram", "trigram": "kn_trigram", "trigram_backoff": "kn_trigram_backoff"}
+_MODELS: dict = {}
+
+
+def _emission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _MODELS:
+        _MODELS.clear()
+        _MODELS[key] = {"emission": em.train(src.corpus(spark, sf_dir))}
+    return _MODELS[key]["emission"]
+
+
+def _model(spark: SparkSession, sf_dir: str) -> decode.Model:
+    emission = _emission(spark, sf_dir)
+    own = _MODELS[spark.sparkContext.applicationId, sf_dir]
+    if "model" not in own:
+        own["model"] = decode.load(spark, emission, {k: QUERIES[v](spark, sf_dir) for k, v in _LM.items()})
+    return own["model"]
+
+
+def _rounded(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in cols})
+
+
+def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries that the corpus has, with their word, and the first language that has it as source."""
+    words = spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("roman"))
+    lang = words.groupBy("roman").agg(F.min("lang").alias("source"))
+    return src.query(spark, sf_dir).join(src.corpus(spark, sf_dir), "roman").join(lang, "roman")
+
+
+def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.outcomes(_cases(spark, sf_dir), QUERIES["lexicon_prefix_topk"](spark, sf_dir))
+
+
+def _suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learned = src.confirm(spark, sf_dir).select(F.col("roman").alias("variant"), "dev").distinct()
+    return ranking.suggest(src.query(spark, sf_dir), lexicon=src.corpus(spark, sf_dir), learned=learned, learned_prefixes=src.learned_prefixes(spark, sf_dir), model=_model(spark, sf_dir))
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..plans.runtime import cut
+    from ..streaming.learn import learn
+
+    events = cut(src.confirm(spark, sf_dir))
+    folder = f"{spark.sparkContext.getCheckpointDir()}/learn-{uuid.uuid4().hex}"
+    events.select(F.col("uid").cast("long"), F.col("turn").cast("long"), F.col("pos").cast("int"), "roman", "dev").write.parquet(f"{folder}/events")
+    return learn(spark, f"{folder}/events", f"{folder}/state").select("dev", "frequency", F.size("variants").cast("long").alias("variants"), F.col("variants")[0].alias("first_variant"))
+
+
+def _fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learned = src.confirm(spark, sf_dir).select(F.col("roman").alias("variant"), "dev").distinct()
+    return fuzzy.match(src.query(spark, sf_dir), learned)
+
+
+def _distinct_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return src.confirm(spark, sf_dir).select("roman").distinct()
+
+
+QUERIES |= {
+    "delete_neighbourhood": lambda s, d: _distinct_words(s, d).select("roman", F.explode(deletes(F.col("roman"))).alias("del")),
+    "fuzzy_match": _fuzzy,
+    "roman_variants": lambda s, d: variants.expand(src.query(s, d)),
+    "align_pairs": lambda s, d: align.aligned(align.clean(src.corpus(s, d)).select("roman", "dev")).select("roman", "dev", F.array_join("parts", "|").alias("parts")),
+    "seed_counts": lambda s, d: align.seeds(src.corpus(s, d)),
+    "seed_emissions": lambda s, d: _rounded(align.seed_emissions(align.seeds(src.corpus(s, d))), "p"),
+    "em_train": lambda s, d: _rounded(_emission(s, d), "p"),
+    "reverse_index": lambda s, d: _rounded(decode.reverse_index(align.seed_emissions(align.seeds(src.corpus(s, d)))), "w"),
+    "lattice_edges": lambda s, d: _rounded(decode.lattice(src.query(s, d), decode.reverse_index(align.seed_emissions(align.seeds(src.corpus(s, d))))), "w"),
+    "beam_decode": lambda s, d: _rounded(decode.decode_all(src.query(s, d), _model(s, d)), "emit", "lm"),
+    "rerank_kbest": lambda s, d: _rounded(decode.rerank(decode.decode_all(src.query(s, d), _model(s, d), 32), src.corpus(s, d)), "rscore"),
+    "suggest": _suggest,
+    "suggest_json": lambda s, d: ranking.as_json(_suggest(s, d)),
+    "eval_hits": lambda s, d: _rounded(_outcomes(s, d), "rr"),
+    "eval_rollup": lambda s, d: evaluate.rollup(_outcomes(s, d)),
+    "bootstrap_ci": lambda s, d: evaluate.bootstrap(_outcomes(s, d)),
+    "stream_learn": _stream,
+}
+_ = lambda *names: ",\n".join(f"{u} AS ({SOURCE_SQL[u]})" for u in names)
+_CUT = "list_transform(generate_series(1, length({0})), lambda i: {0}[1:i - 1] || {0}[i + 1:])"
+_DELETES = "list_distinct(list_concat([roman], list_concat(" + _CUT.format("roman") + ", flatten(list_transform(" + _CUT.format("roman") + ", lambda x: " + _CUT.replace("lambda i", "lambda j").replace("i - 1", "j - 1").replace("i + 1", "j + 1").format("x") + ")))))"
+_SQUASH = CATALOGUE["vowel_collapse"][2].removeprefix("SELECT roman, ").removesuffix(" AS collapsed FROM {corpus}")
+_HITS = f"""WITH {_("corpus", "query", "prefixes")},
+ranked AS ({CATALOGUE["lexicon_prefix_topk"][1].format(query="query", prefixes="prefixes")}),
+words AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS roman, lang FROM documents),
+lang AS (SELECT roman, min(lang) AS source FROM words GROUP BY roman),
+cases AS (SELECT q.roman, c.dev, l.source FROM query q JOIN corpus c ON q.roman = c.roman JOIN lang l ON q.roman = l.roman),
+hits AS (SELECT c.roman, c.source, min(r.rank) AS r FROM cases c LEFT JOIN ranked r ON c.roman = r.roman AND c.dev = r.dev GROUP BY c.roman, c.source),
+o AS (SELECT roman, source, coalesce((r <= 1)::INT, 0) AS top1, coalesce((r <= 5)::INT, 0) AS top5, coalesce((r <= 10)::INT, 0) AS top10, coalesce(1.0e0 / r, 0e0) AS rr FROM hits)
+"""
+ORACLES |= {
+    "delete_neighbourhood": f"WITH {_('confirm')} SELECT roman, unnest({_DELETES}) AS del FROM (SELECT DISTINCT roman FROM confirm)",
+    "fuzzy_match": f"""WITH {_('confirm', 'query')}, v AS (SELECT DISTINCT roman AS variant, dev FROM confirm),
+p AS (SELECT q.roman, v.variant, v.dev FROM query q JOIN v ON abs(length(q.roman) - length(v.variant)) <= 4),
+d AS (SELECT p.roman, dev, least(levenshtein(p.roman, variant), levenshtein({_SQUASH.replace('roman', 'p.roman')}, {_SQUASH.replace('roman', 'variant')})) AS d,
+  list_has_any((SELECT {_DELETES} FROM (SELECT p.roman AS roman)), (SELECT {_DELETES} FROM (SELECT p.variant AS roman))) AS near FROM p)
+SELECT roman, dev, min(d) AS distance FROM d WHERE d <= 2 AND near GROUP BY roman, dev""",
+    "eval_hits": _HITS + "SELECT roman, source, top1, top5, top10, round(rr, 6) AS rr FROM o",
+    "eval_rollup": _HITS + "SELECT source, count(*) AS total, sum(top1) AS top1, sum(top5) AS top5, sum(top10) AS top10, round(avg(rr), 6) AS mrr FROM o GROUP BY ROLLUP (source)",
+    "stream_learn": ORACLES["learned_words"],
+}
