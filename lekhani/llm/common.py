@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -58,3 +59,9 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> N
     """Bound what Python workers hold at once, since texts can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files and checkpoints that nothing refers to any more; it waits for collections else."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -36,4 +36,5 @@ def components(links: DataFrame) -> DataFrame:
             break
         mark = got
         now = cut(_star(_star(now, True), False))
+    release(links.sparkSession)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

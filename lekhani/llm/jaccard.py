@@ -9,10 +9,11 @@ from math import comb
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, release, small_batches
 from .components import components
 from .hashing import GOLDEN, mix, spans
 
@@ -44,7 +45,8 @@ class Plan:
     """What a set of a size emits so that every pair with 100 * intersection >= ``share`` * union meets."""
 
     share: int
-    ratio: float = 1.5
+    ratio: float = 1.25  # of the largest size of a class to its smallest
+    slack: int = 4  # one part more for so many elements that may differ: it must agree
     weak: int = 4  # a part of fewer than so many shingles counts as so many, for what it lets through
 
     def differ(self, a: int, b: int) -> int:
@@ -65,7 +67,7 @@ class Plan:
         has the last number at least that are not empty. (A set with more emits empty parts as well.)
         """
         d = self.differ(top, top)
-        empty, agree = 2 + d // 32, 1 + d // 8
+        empty, agree = 2 + d // 32, 1 + d // self.slack
         return d + empty + agree, empty, agree
 
     @property
@@ -89,8 +91,8 @@ class Plan:
             low = top + 1
         return out
 
-    def signatures(self, s: np.ndarray) -> list[tuple[int, np.ndarray]]:
-        """[(need, numbers), ...]: two linked sets have ``need`` numbers in common in one of the entries.
+    def signatures(self, s: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+        """[(class, need, numbers), ...]: two linked sets have at least ``need`` numbers in common in one class.
 
         The numbers stand for whole subsets if the sets are small, else for the parts of a class.
         """
@@ -102,7 +104,7 @@ class Plan:
             for i in range(size - self.least(size) + 1):
                 gone = np.array([np.add.reduce(h[list(c)]) for c in combinations(range(size), i)], np.uint64) if i else np.zeros(1, np.uint64)
                 keys.append(mix((whole - gone) * GOLDEN + np.uint64(size - i)))
-            out.append((1, np.unique(np.concatenate(keys))))
+            out.append((0, 1, np.unique(np.concatenate(keys))))
         total = np.zeros(size + 1, np.uint64)
         np.cumsum(h, out=total[1:])
         for low, top in self.classes(size):
@@ -111,7 +113,7 @@ class Plan:
             at = np.searchsorted(part, np.arange(m + 1, dtype=np.uint64))
             full = at[1:] > at[:-1]
             sums = mix((total[at[1:]] - total[at[:-1]]) ^ mix(np.arange(m, dtype=np.uint64) + np.uint64(low << 32)))
-            out.append((agree, sums if m - int(full.sum()) > empty else sums[full]))
+            out.append((low, agree, sums if m - int(full.sum()) > empty else sums[full]))
         return out
 
 
@@ -216,55 +218,63 @@ def jaccard_components(docs: DataFrame, *, words: int = 4, share: int = 85, few:
     spark = docs.sparkSession
     small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    plan = Plan(share)
+    plan = Plan(share, slack=4 if share >= 85 else 3)
 
     def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            got = [shingles(t, words) for t in f["text"]]
+            name = pd.array([_name(s) if len(s) else None for s in got], "Int64")
+            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "text_hash": f["text_hash"], "n": [len(s) for s in got], "name": name})
+
+    def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         met: set = set()
         for f in frames:
-            n, name, sig = [], [], []
-            for text in f["text"]:
-                s = shingles(text, words)
-                n.append(len(s))
-                name.append(_name(s) if len(s) else None)
-                if not len(s) or name[-1] in met:
-                    sig.append(None)
-                else:
-                    met.add(name[-1])
-                    sig.append([{"need": k, "keys": x.view(np.int64)} for k, x in plan.signatures(s)])
-            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "text_hash": f["text_hash"], "n": n, "name": pd.array(name, "Int64"), "sig": sig})
+            out = []
+            for t in f["text"]:
+                s = shingles(t, words)
+                name = _name(s) if len(s) else None
+                if len(s) and name not in met:
+                    met.add(name)
+                    out += [(name, c, need, keys.view(np.int64)) for c, need, keys in plan.signatures(s)]
+            if out:
+                yield pd.DataFrame(out, columns=["name", "cls", "need", "keys"])
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text"))
-    every = cut(text.mapInPandas(sets, "doc_id long, text_hash long, n long, name long, sig array<struct<need: int, keys: array<long>>>"))
+    # The text is read twice: signatures are too many to be kept beside their shuffle.
+    every = cut(text.mapInPandas(sets, "doc_id long, text_hash long, n long, name long"))
 
-    emitted = every.where("sig is not null").select("name", F.explode("sig").alias("s")).select("name", "s.need", F.explode("s.keys").alias("key"))
+    emitted = text.select("text").mapInPandas(emit, "name long, cls int, need int, keys array<long>").select("name", "cls", "need", F.explode("keys").alias("key"))
     same = Window.partitionBy("key")
     order = same.orderBy("name")
     last = F.lag("name").over(order)  # a set that several tasks have emitted counts once
     met = emitted.withColumn("last", last).where("last is null or last <> name")
     met = met.withColumn("c", F.count(F.lit(1)).over(same)).where("c > 1")
-    own = Window.partitionBy("name", "need")
+    own = Window.partitionBy("name", "cls")
     met = met.withColumn("n", F.count(F.lit(1)).over(own)).withColumn("h", F.count(F.when(F.col("c") > few, 1)).over(own))
     met = met.withColumn("r", F.row_number().over(own.orderBy(F.col("c").desc(), "key")))  # the largest hubs first
-    met = cut(met.where("n >= need").select("name", "need", "key", "c", "h", "r"))
-    small = met.where(F.col("c") <= few).withColumn("before", F.collect_list(F.struct("name", "h")).over(order.rowsBetween(1 - few, -1)))
-    pairs = small.select(F.col("name").alias("a"), "need", "h", F.explode("before").alias("x"))
-    pairs = pairs.groupBy("a", F.col("x.name").alias("b"), "need").agg(F.count(F.lit(1)).alias("k"), F.min(F.least("h", "x.h")).alias("h"))
-    pairs = pairs.where("k >= need - h").select("a", "b")
+    # Kept compressed on the executors' disks for the two uses below; what is lost with one is computed again.
+    met = met.where("n >= need").select("name", "cls", "need", "key", "c", "h", "r").persist(StorageLevel.DISK_ONLY)
+    small = met.where(F.col("c") <= few).withColumn("before", F.collect_list(F.struct("name", "need", "h")).over(order.rowsBetween(1 - few, -1)))
+    pairs = small.select(F.col("name").alias("a"), "cls", "need", "h", F.explode("before").alias("x"))
+    pairs = pairs.groupBy("a", F.col("x.name").alias("b"), "cls").agg(F.count(F.lit(1)).alias("k"), F.max(F.greatest("need", "x.need") - F.least("h", "x.h")).alias("t"))
+    pairs = pairs.where("k >= t").select("a", "b")
     hubs = met.where((F.col("c") > few) & F.expr("h >= need and r >= need")).withColumn("b", F.first("name").over(order))
     hubs = hubs.where("name <> b").select(F.col("name").alias("a"), "b").distinct()
     clusters = cut(components(pairs.unionByName(hubs)).select(F.col("node").alias("name"), F.col("root").alias("cluster")))
+    met.unpersist(blocking=True)
+    del met, emitted, small, pairs, hubs
+    release(spark)  # the signatures' shuffle is by far the largest
 
     # One document for each set of a cluster; a hash of the text tells rows of one doc_id apart.
     member = every.where("n > 0").select("name", "doc_id", "text_hash").join(clusters, "name")
     member = member.groupBy("cluster", "name").agg(F.min(F.struct("doc_id", "text_hash")).alias("d"))
     size = member.groupBy("cluster").count()
     member = cut(member.join(size, "cluster").select("cluster", "name", F.col("d.doc_id").alias("i"), F.col("d.text_hash").alias("h"), F.col("count").alias("size")))
-    small = member.count() <= broadcast_rows
-
     def texts(bins: DataFrame) -> DataFrame:
         """bins: i, h, bin, side -> with the text of each."""
+        bins = cut(bins)
         on = text["doc_id"].eqNullSafe(bins["i"]) & (text["text_hash"] == bins["h"])
-        got = text.join(F.broadcast(bins) if small else bins, on)
+        got = text.join(F.broadcast(bins) if bins.count() <= broadcast_rows else bins, on)
         return got.select("bin", "side", "text")
 
     blocks = F.ceil(F.col("size") / block)
@@ -305,9 +315,11 @@ def jaccard_components(docs: DataFrame, *, words: int = 4, share: int = 85, few:
     return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("name").alias("class_id"))
 
 
-def drop_near(docs: DataFrame, *, words: int = 5, share: int = 80) -> DataFrame:
+def drop_near(docs: DataFrame, *, words: int = 5, share: int = 80, broadcast_rows: int = 500_000) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest doc_id; all columns as they are."""
     found = jaccard_components(docs, words=words, share=share)
     gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h"))
-    x = docs.withColumn("_x", F.xxhash64("text"))
-    return x.join(cut(gone.distinct()), x["doc_id"].cast("long").eqNullSafe(F.col("_i")) & (x["_x"] == F.col("_h")), "left_anti").drop("_x")
+    x, gone = docs.withColumn("_x", F.xxhash64("text")), cut(gone.distinct())
+    if gone.count() <= broadcast_rows:
+        gone = F.broadcast(gone)
+    return x.join(gone, x["doc_id"].cast("long").eqNullSafe(F.col("_i")) & (x["_x"] == F.col("_h")), "left_anti").drop("_x")
