@@ -92,13 +92,13 @@ def exact_dedup(docs: DataFrame, *, block_bytes: int = 4096, bucket: Callable[[C
 def drop_exact(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that ``exact_dedup`` doesn't keep; all columns as they are."""
     found = cut(exact_dedup(docs).select("doc_id", "text_sha256", "kept"))
-    stay = found.where("kept").select(F.col("doc_id").alias("_i"), F.col("text_sha256").alias("_h"))
-    x = docs.withColumn("_sha", F.sha2(normal(F.col("text")), 256))
-    x = x.join(stay, x["doc_id"].cast("long").eqNullSafe(F.col("_i")) & (x["_sha"] == F.col("_h")), "left_semi")
+    stay = found.where("kept").select(F.col("doc_id").alias("__lekhani_i"), F.col("text_sha256").alias("__lekhani_h"))
+    x = docs.withColumn("__lekhani_sha", F.sha2(normal(F.col("text")), 256))
+    x = x.join(stay, x["doc_id"].cast("long").eqNullSafe(F.col("__lekhani_i")) & (x["__lekhani_sha"] == F.col("__lekhani_h")), "left_semi")
     twice = found.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("k")).where("n > 1 and k")
     if not twice.isEmpty():  # rows that repeat: one of each stays
-        x = x.dropDuplicates(["doc_id", "_sha"])
-    return x.drop("_sha")
+        x = x.dropDuplicates(["doc_id", "__lekhani_sha"])
+    return x.drop("__lekhani_sha")
 
 
 ORACLE = r"""

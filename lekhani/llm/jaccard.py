@@ -318,8 +318,8 @@ def jaccard_components(docs: DataFrame, *, words: int = 4, share: int = 85, few:
 def drop_near(docs: DataFrame, *, words: int = 5, share: int = 80, broadcast_rows: int = 500_000) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest doc_id; all columns as they are."""
     found = jaccard_components(docs, words=words, share=share)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h"))
-    x, gone = docs.withColumn("_x", F.xxhash64("text")), cut(gone.distinct())
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__lekhani_i"), F.col("text_hash").alias("__lekhani_h"))
+    x, gone = docs.withColumn("__lekhani_x", F.xxhash64("text")), cut(gone.distinct())
     if gone.count() <= broadcast_rows:
         gone = F.broadcast(gone)
-    return x.join(gone, x["doc_id"].cast("long").eqNullSafe(F.col("_i")) & (x["_x"] == F.col("_h")), "left_anti").drop("_x")
+    return x.join(gone, x["doc_id"].cast("long").eqNullSafe(F.col("__lekhani_i")) & (x["__lekhani_x"] == F.col("__lekhani_h")), "left_anti").drop("__lekhani_x")

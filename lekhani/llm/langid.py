@@ -93,25 +93,30 @@ class Model:
         return self.langs[best], float(1 - off[best] / (len(top) * self.size))
 
 
+def _judged(docs: DataFrame, size: int, docs_per_lang: int) -> DataFrame:
+    model = Model(profiles(docs, size=size, docs_per_lang=docs_per_lang), size)
+
+    def judge(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for t in texts:
+            yield pd.DataFrame([model(x) for x in t], columns=["lang_pred", "score"])
+
+    return docs.withColumn("__lekhani_g", F.pandas_udf(judge, "lang_pred string, score double")(F.col("text").cast("string")))
+
+
 def identify(docs: DataFrame, *, size: int = 300, docs_per_lang: int = 400) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``: the language whose profile is nearest to that of the whole text.
 
     A text's n-grams by frequency are compared with a language's: each adds the difference of its ranks, or ``size``
     if the language hasn't it. score is 1 less the sum's share of the largest possible. Null texts and texts without a letter are
     ``und`` with score 0, and so is every text if no language has been learnt. Ties go to the first language by
-    name; rows that repeat are judged each; an empty table gives no rows; other columns pass through.
+    name; rows that repeat are judged each; an empty table gives no rows; other columns pass
+    through, but for columns named as the two results, which are replaced.
     """
-    model = Model(profiles(docs, size=size, docs_per_lang=docs_per_lang), size)
-
-    def judge(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for t in texts:
-            yield pd.DataFrame([model(x) for x in t], columns=["lang_pred", "score"])
-
-    guess = F.pandas_udf(judge, "lang_pred string, score double")
-    return docs.withColumn("_g", guess(F.col("text").cast("string"))).withColumns({"lang_pred": F.col("_g.lang_pred"), "score": F.col("_g.score")}).drop("_g")
+    g = "__lekhani_g"
+    return _judged(docs, size, docs_per_lang).withColumns({"lang_pred": F.col(f"{g}.lang_pred"), "score": F.col(f"{g}.score")}).drop(g)
 
 
 def keep_identified(docs: DataFrame, *, least: float = 0.15) -> DataFrame:
     """``docs`` without those whose language isn't known: ``und``, or farther from all profiles than any prose is."""
-    cols = docs.columns
-    return identify(docs).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*cols)
+    g = "__lekhani_g"
+    return _judged(docs, 300, 400).where((F.col(f"{g}.lang_pred") != "und") & (F.col(f"{g}.score") >= least)).drop(g)

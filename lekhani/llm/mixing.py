@@ -81,10 +81,10 @@ def mixed(docs: DataFrame) -> DataFrame:
 
     Rows with the same doc_id and text, which exact dedup leaves none of, are all taken as often as the one taken most.
     """
-    found = mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h")).agg(F.max("copies").alias("_n"))
-    x = docs.withColumn("_x", F.xxhash64("text"))
-    x = x.join(found, x["doc_id"].cast("long").eqNullSafe(F.col("_i")) & (x["_x"] == F.col("_h")))
-    return x.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*docs.columns)
+    found = mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("__lekhani_i"), F.col("text_hash").alias("__lekhani_h")).agg(F.max("copies").alias("__lekhani_n"))
+    x = docs.withColumn("__lekhani_x", F.xxhash64("text"))
+    x = x.join(found, x["doc_id"].cast("long").eqNullSafe(F.col("__lekhani_i")) & (x["__lekhani_x"] == F.col("__lekhani_h")))
+    return x.withColumn("__lekhani_k", F.explode(F.sequence(F.lit(1), F.col("__lekhani_n").cast("int")))).select(*docs.columns)
 
 
 ORACLE = r"""

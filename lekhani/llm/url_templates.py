@@ -88,7 +88,7 @@ def filter_urls(pages: DataFrame, labels: DataFrame, *, rules: tuple = RULES, de
     tree = template_tree(cut(shapes.select("host", "shape", "n", F.coalesce("labelled", F.lit(0)).alias("labelled"), F.coalesce("good", F.lit(0)).alias("good"))))
 
     whole = tree.agg(F.sum("good"), F.sum("labelled")).first()
-    share = whole[0] / whole[1] if whole[1] else 1.0
+    share = ((whole[0] or 0) + prior_weight) / ((whole[1] or 0) + prior_weight)  # without evidence pages are good
     judged = tree.groupBy("host", "template").agg(((F.sum("good") + prior_weight * share) / (F.sum("labelled") + prior_weight)).alias("purity"))
     judged = tree.select("host", "shape", "template").join(judged, ["host", "template"])
     judged = judged.select(F.col("host").alias("_h"), F.col("shape").alias("_s"), "template", "purity", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
