@@ -14,30 +14,34 @@ SUBSTITUTE, DELETE, INSERT, MERGE = 1.0, 1.5, 1.5, 1.3
 CHUNK = 5
 
 
+@cache
+def _best(i: int, j: int) -> tuple[float, int, int]:
+    """Least cost of i letters and j code points, and what the last step takes of each."""
+    ways = []
+    if i and j:
+        ways.append((_best(i - 1, j - 1)[0] + SUBSTITUTE, 1, 1))
+    if i:
+        ways.append((_best(i - 1, j)[0] + DELETE, 1, 0))
+    if j:
+        ways.append((_best(i, j - 1)[0] + INSERT, 0, 1))
+    if i > 1 and j:
+        ways.append((_best(i - 2, j - 1)[0] + MERGE, 2, 1))
+    return min(ways, key=lambda w: w[0]) if ways else (0.0, 0, 0)
+
+
+def least_cost(m: int, n: int) -> float:
+    return _best(m, n)[0]
+
+
 def spans(m: int, n: int) -> list[tuple[int, int]]:
     """(offset, length) in a word of ``m`` letters for each of ``n`` code points, by least cost; ties as the costs stand.
 
     Costs don't depend on the characters, so the lengths decide.
     """
-
-    @cache
-    def best(i: int, j: int) -> tuple[float, int, int]:
-        """Cost of the first i letters and j code points, and what the last step takes of each."""
-        ways = []
-        if i and j:
-            ways.append((best(i - 1, j - 1)[0] + SUBSTITUTE, 1, 1))
-        if i:
-            ways.append((best(i - 1, j)[0] + DELETE, 1, 0))
-        if j:
-            ways.append((best(i, j - 1)[0] + INSERT, 0, 1))
-        if i > 1 and j:
-            ways.append((best(i - 2, j - 1)[0] + MERGE, 2, 1))
-        return min(ways, key=lambda w: w[0]) if ways else (0.0, 0, 0)
-
     out: list[tuple[int, int]] = []
     i, j = m, n
     while i or j:
-        _, a, b = best(i, j)
+        _, a, b = _best(i, j)
         if b:
             out.append((i - a, a))
         i, j = i - a, j - b
@@ -45,16 +49,16 @@ def spans(m: int, n: int) -> list[tuple[int, int]]:
 
 
 def table(spark: SparkSession, letters: int = 24, points: int = 64) -> DataFrame:
-    """One row for each pair of lengths: m, n, spans. At most letters * points rows, so it can be broadcast."""
-    rows = [(m, n, spans(m, n)) for m in range(1, letters + 1) for n in range(1, points + 1)]
-    return spark.createDataFrame(rows, "m int, n int, spans array<struct<off: int, len: int>>")
+    """One row for each pair of lengths: m, n, spans, cost. At most letters * points rows, so it can be broadcast."""
+    rows = [(m, n, spans(m, n), least_cost(m, n)) for m in range(1, letters + 1) for n in range(1, points + 1)]
+    return spark.createDataFrame(rows, "m int, n int, spans array<struct<off: int, len: int>>, cost double")
 
 
 def aligned(pairs: DataFrame) -> DataFrame:
-    """roman, dev -> with ``parts``: the letters of each code point, '' where it has none. Words of clean pairs only."""
+    """roman, dev -> with ``parts``, the letters of each code point, '' where it has none, and the cost. Words of clean pairs only."""
     t = F.broadcast(table(pairs.sparkSession))
     x = pairs.join(t, (F.length("roman") == F.col("m")) & (F.length("dev") == F.col("n")))
-    return x.select("roman", "dev", F.transform("spans", lambda s: F.substring(F.col("roman"), s["off"] + 1, s["len"])).alias("parts"))
+    return x.select("roman", "dev", F.transform("spans", lambda s: F.substring(F.col("roman"), s["off"] + 1, s["len"])).alias("parts"), "cost")
 
 
 def clean(pairs: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from math import log
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -66,6 +67,19 @@ def expected(pairs: DataFrame, emission: DataFrame) -> DataFrame:
     return pairs.select("roman", "aks").mapInPandas(run, "a string, chunk string, c double").groupBy("a", "chunk").agg(F.sum("c").alias("c"))
 
 
+def likelihoods(pairs: DataFrame, emission: DataFrame) -> DataFrame:
+    """roman, dev, log_z: the logarithm of each pair's likelihood; pairs that can't be cut are left out."""
+    p = pairs.sparkSession.sparkContext.broadcast({(r["a"], r["chunk"]): r["p"] for r in collected(emission)})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            z = [posteriors(roman, list(aks), p.value)[0] for roman, aks in zip(f["roman"], f["aks"], strict=True)]
+            rows = [(r, d, log(x)) for r, d, x in zip(f["roman"], f["dev"], z, strict=True) if x > 0]
+            yield pd.DataFrame(rows, columns=["roman", "dev", "log_z"])
+
+    return pairs.select("roman", "dev", "aks").mapInPandas(run, "roman string, dev string, log_z double")
+
+
 def maximise(counts: DataFrame, prior: DataFrame, old: DataFrame, smoothing: float = 0.05) -> DataFrame:
     """New shares (c + s * prior) / (total + s); syllables without counts keep the old ones."""
     total = counts.groupBy("a").agg(F.sum("c").alias("t"))
@@ -73,13 +87,18 @@ def maximise(counts: DataFrame, prior: DataFrame, old: DataFrame, smoothing: flo
     return new.unionByName(old.join(total.select("a"), "a", "left_anti").select("a", "chunk", "p"))
 
 
-def train(pairs: DataFrame, *, iterations: int = 12, smoothing: float = 0.05) -> DataFrame:
-    """(roman, dev) -> a, chunk, p."""
+def priors(counts: DataFrame) -> DataFrame:
+    """Share of each chunk among all seeds: chunk, prior."""
+    whole = counts.agg(F.sum("n")).first()[0]
+    return counts.groupBy("chunk").agg((F.sum("n") / F.lit(float(whole or 1))).alias("prior"))
+
+
+def train(pairs: DataFrame, *, iterations: int = 12, smoothing: float = 0.05, seeded: bool = True) -> DataFrame:
+    """(roman, dev) -> a, chunk, p. Without ``seeded`` every seeded pair starts from 1."""
     ready = cut(clean(pairs).select("roman", "aks"))
     counts = cut(seeds(pairs))
-    whole = counts.agg(F.sum("n")).first()[0]
-    prior = cut(counts.groupBy("chunk").agg((F.sum("n") / F.lit(float(whole or 1))).alias("prior")))
-    now = cut(seed_emissions(counts))
+    prior = cut(priors(counts))
+    now = cut(seed_emissions(counts) if seeded else counts.select("a", "chunk", F.lit(1.0).alias("p")))
     for _ in range(iterations):
         now = cut(maximise(expected(ready, now), prior, now, smoothing))
     return now

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.runtime import numbered
+
 _STEP = 0x9E3779B97F4A7C15
 _ALL = (1 << 64) - 1
 
@@ -41,9 +43,7 @@ def bootstrap(out: DataFrame, *, resamples: int = 1000, seed: int = 42) -> DataF
     n = out.count()
     if not n:
         return spark.createDataFrame([], "metric string, low double, high double")
-    from pyspark.sql import Window
-
-    placed = out.withColumn("place", F.row_number().over(Window.orderBy("roman")) - 1)
+    placed = numbered(out, "roman", "place")
 
     def draw(frames):
         for f in frames:
@@ -60,9 +60,9 @@ def bootstrap(out: DataFrame, *, resamples: int = 1000, seed: int = 42) -> DataF
 
 def objective(dev: DataFrame, weights: list[tuple[float, ...]]) -> DataFrame:
     """dev (case_id, pos, f array, is_target): for each weight vector the cases whose best candidate, the first of equals, is the target."""
-    w = dev.sparkSession.createDataFrame([(i, list(x)) for i, x in enumerate(weights)], "i int, w array<double>")
+    tried = F.array(*[F.struct(F.lit(i).alias("i"), F.array(*[F.lit(float(v)) for v in x]).alias("w")) for i, x in enumerate(weights)])
     score = F.aggregate(F.zip_with("f", "w", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    scored = dev.crossJoin(F.broadcast(w)).withColumn("s", score)  # a row a candidate and grid value
+    scored = dev.withColumn("x", F.explode(tried)).select("case_id", "pos", "f", "is_target", "x.i", "x.w").withColumn("s", score)
     best = scored.groupBy("i", "case_id").agg(F.max_by("is_target", F.struct("s", -F.col("pos"))).alias("hit"))
     return best.groupBy("i").agg(F.sum(F.col("hit").cast("int")).alias("hits"))
 

@@ -8,12 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import deletes
-from ..operators import align, decode, em, evaluate, fuzzy, variants
+from ..functions.text import bounded_distance, deletes
+from ..operators import align, decode, em, evaluate, fuzzy, summary, variants
 from ..operators import suggest as ranking
 from ..sources import corpus as src
 from ..sources.corpus import SOURCE_SQL, SOURCES
 from .catalogue import CATALOGUE
+from .oracles import ALIGN_ORACLES, bootstrap_sql
 
 
 def _stated(uses: list[str], sql: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -84,6 +85,65 @@ def _fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy.match(src.query(spark, sf_dir), learned)
 
 
+def _stream_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..plans.runtime import cut
+    from ..streaming.learn import learn_context
+
+    events = cut(src.confirm(spark, sf_dir).select(F.col("uid").cast("long"), F.col("turn").cast("long"), F.col("pos").cast("int"), "roman", "dev"))
+    folder = f"{spark.sparkContext.getCheckpointDir()}/context-{uuid.uuid4().hex}"
+    events.write.parquet(f"{folder}/events")
+    return learn_context(spark, f"{folder}/events", f"{folder}/state", f"{folder}/out")
+
+
+def _seed_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.seed_emissions(align.seeds(src.corpus(spark, sf_dir)))
+
+
+def _ready(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.clean(src.corpus(spark, sf_dir))
+
+
+def _m_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = align.seeds(src.corpus(spark, sf_dir))
+    old = align.seed_emissions(counts)
+    return em.maximise(em.expected(_ready(spark, sf_dir), old), em.priors(counts), old)
+
+
+def _lines(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """The corpus written as lines of a text format, with comments, blank lines and lines that don't parse among them."""
+    c = src.corpus(spark, sf_dir)
+    if kind == "tsv":
+        line = F.concat(F.lit(" "), "roman", F.lit("\t"), "dev", F.lit(" || "), F.reverse("dev"), F.lit(" "))
+        return c.select(F.explode(F.array(line, F.concat(F.lit("# "), "roman"), F.lit("  "))).alias("value"))
+    pair = F.to_json(F.struct(F.col("roman").alias("english word"), F.col("dev").alias("native word"), F.lit(1).alias("more")))
+    return c.select(F.when(F.length("roman") % 7 == 0, F.concat(F.lit("{"), pair)).otherwise(pair).alias("value"))
+
+
+def _dev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of known queries with features: count, -length, -rank, whole match."""
+    ranked = QUERIES["lexicon_prefix_topk"](spark, sf_dir)
+    cases = src.query(spark, sf_dir).join(src.corpus(spark, sf_dir).withColumnRenamed("dev", "target"), "roman")
+    x = ranked.join(cases, "roman")
+    features = F.array(F.col("n").cast("double"), -F.length("dev").cast("double"), -F.col("rank").cast("double"), (F.length("dev") == F.length("target")).cast("double"))
+    return x.select(F.col("roman").alias("case_id"), F.col("rank").alias("pos"), features.alias("f"), (F.col("dev") == F.col("target")).alias("is_target"))
+
+
+_TRIED = [(1.0, 1.0, 1.0, 1.0), (0.0, 1.0, 0.0, 0.0), (1.0, 0.0, 0.5, 0.0), (0.0, 0.0, 1.0, 2.0), (0.5, 2.0, 0.0, 1.0)]
+_GRID = [0.0, 0.25, 0.5, 1.0, 2.0, 4.0]
+
+
+def _tuned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..plans.runtime import cut
+
+    weights, hits = evaluate.tune(cut(_dev(spark, sf_dir)), [_GRID] * 4)
+    return spark.createDataFrame([(*weights, hits)], "w0 double, w1 double, w2 double, w3 double, hits long")
+
+
+def _intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _outcomes(spark, sf_dir).groupBy("source").agg(F.percentile("rr", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("p"))
+    return p.select("source", *[F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("low", "middle", "high"))])
+
+
 def _distinct_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.confirm(spark, sf_dir).select("roman").distinct()
 
@@ -106,6 +166,21 @@ QUERIES |= {
     "eval_rollup": lambda s, d: evaluate.rollup(_outcomes(s, d)),
     "bootstrap_ci": lambda s, d: evaluate.bootstrap(_outcomes(s, d)),
     "stream_learn": _stream,
+    "stream_context": _stream_context,
+    "align_cost": lambda s, d: _rounded(align.aligned(_ready(s, d).select("roman", "dev")).select("roman", "dev", "cost"), "cost"),
+    "top_emissions": lambda s, d: _rounded(summary.top_emissions(_seed_model(s, d)), "w"),
+    "model_summary": lambda s, d: summary.model_summary(_seed_model(s, d), src.segs(s, d)),
+    "chunk_codes": lambda s, d: align.seeds(src.corpus(s, d)).select("chunk").distinct().select("chunk", summary.pack_chunk(F.col("chunk")).cast("long").alias("code")),
+    "em_forward_z": lambda s, d: _rounded(em.likelihoods(_ready(s, d), _seed_model(s, d)), "log_z"),
+    "em_expected_counts": lambda s, d: _rounded(em.expected(_ready(s, d), _seed_model(s, d)), "c"),
+    "em_m_step": lambda s, d: _rounded(_m_step(s, d), "p"),
+    "bounded_edit": lambda s, d: QUERIES["vowel_collapse"](s, d).select("roman", "collapsed", bounded_distance(F.col("roman"), F.col("collapsed"), 2).alias("distance")),
+    "tsv_parse": lambda s, d: src.parse_tsv(_lines(s, d, "tsv")).select("roman", F.array_join("targets", "|").alias("targets")),
+    "jsonl_parse": lambda s, d: src.parse_jsonl(_lines(s, d, "jsonl")).select("roman", "dev"),
+    "eval_mrr": lambda s, d: _outcomes(s, d).agg(F.count(F.lit(1)).alias("total"), F.round(F.avg("top1"), 6).alias("top1"), F.round(F.avg("top5"), 6).alias("top5"), F.round(F.avg("top10"), 6).alias("top10"), F.round(F.avg("rr"), 6).alias("mrr")),
+    "percentile_ci": _intervals,
+    "mert_objective": lambda s, d: evaluate.objective(_dev(s, d), _TRIED),
+    "mert_grid": _tuned,
 }
 _ = lambda *names: ",\n".join(f"{u} AS ({SOURCE_SQL[u]})" for u in names)
 _CUT = "list_transform(generate_series(1, length({0})), lambda i: {0}[1:i - 1] || {0}[i + 1:])"
@@ -129,4 +204,19 @@ SELECT roman, dev, min(d) AS distance FROM d WHERE d <= 2 AND near GROUP BY roma
     "eval_hits": _HITS + "SELECT roman, source, top1, top5, top10, round(rr, 6) AS rr FROM o",
     "eval_rollup": _HITS + "SELECT source, count(*) AS total, sum(top1) AS top1, sum(top5) AS top5, sum(top10) AS top10, round(avg(rr), 6) AS mrr FROM o GROUP BY ROLLUP (source)",
     "stream_learn": ORACLES["learned_words"],
+    "stream_context": ORACLES["context_bigrams"],
+    "eval_mrr": _HITS + "SELECT count(*) AS total, round(avg(top1), 6) AS top1, round(avg(top5), 6) AS top5, round(avg(top10), 6) AS top10, round(avg(rr), 6) AS mrr FROM o",
+    "percentile_ci": _HITS + "SELECT source, round(quantile_cont(rr, 0.025), 6) AS low, round(quantile_cont(rr, 0.5), 6) AS middle, round(quantile_cont(rr, 0.975), 6) AS high FROM o GROUP BY source",
+    "bootstrap_ci": bootstrap_sql(_HITS.rstrip()),
+    "bounded_edit": f"WITH {_('corpus')} SELECT roman, collapsed, CASE WHEN d <= 2 THEN d END AS distance FROM (SELECT roman, collapsed, levenshtein(roman, collapsed) AS d FROM (SELECT roman, {_SQUASH} AS collapsed FROM corpus))",
+    "tsv_parse": f"WITH {_('corpus')} SELECT roman, dev || '|' || array_to_string(list_reverse(regexp_extract_all(dev, '[\\s\\S]')), '') AS targets FROM corpus",
+    "jsonl_parse": f"WITH {_('corpus')} SELECT roman, dev FROM corpus WHERE length(roman) % 7 <> 0",
+    "mert_objective": f"""WITH {_("corpus", "query", "prefixes")},
+ranked AS ({CATALOGUE["lexicon_prefix_topk"][1].format(query="query", prefixes="prefixes")}),
+dev AS (SELECT r.roman, r.rank, r.n, r.dev, c.dev AS target FROM ranked r JOIN corpus c ON r.roman = c.roman),
+tried(i, a, b, c, d) AS (VALUES {", ".join(str((i, *w)) for i, w in enumerate(_TRIED))}),
+scored AS (SELECT i, roman, dev = target AS hit, row_number() OVER (PARTITION BY i, roman ORDER BY a * n - b * length(dev) - c * rank + d * (length(dev) = length(target))::INT DESC, rank) AS place FROM dev, tried)
+SELECT i, sum(hit::INT) AS hits FROM scored WHERE place = 1 GROUP BY i""",
 }
+ORACLES |= ALIGN_ORACLES
+ORACLES["chunk_codes"] = ALIGN_ORACLES["seed_counts"].replace("SELECT a, chunk, n FROM seed", "SELECT chunk, (length(chunk) * (1 << 26) + list_sum(list_transform(generate_series(1, length(chunk)), lambda k: (ascii(chunk[k]) - 97) * (32 ** (k - 1)))))::BIGINT AS code FROM (SELECT DISTINCT chunk FROM seed) x")

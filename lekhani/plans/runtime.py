@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -13,3 +14,13 @@ def cut(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lekhani-"))
     return df.checkpoint()
+
+
+def numbered(df: DataFrame, order: str, out: str) -> DataFrame:
+    """Rows with their place by ``order`` from 0, as column ``out``: range partitions are counted, then numbered each by itself."""
+    dealt = cut(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = dealt.groupBy("_part").count().withColumn("_base", F.coalesce(F.sum("count").over(ahead), F.lit(0)))  # a row a partition
+    own = Window.partitionBy("_part").orderBy(order)
+    x = dealt.join(F.broadcast(base.select("_part", "_base")), "_part")
+    return x.withColumn(out, F.col("_base") + F.row_number().over(own) - 1).drop("_part", "_base")

@@ -32,13 +32,18 @@ def corpus_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("doc_id", "pos", "roman", F.expr(derived("roman")).alias("dev"))
 
 
-def segs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each syllable of each distinct word with the next two: roman, pos, n, a, b, c."""
-    aks = corpus(spark, sf_dir).select("roman", syllables(F.col("dev")).alias("s"))
+def segs_of(pairs: DataFrame) -> DataFrame:
+    """Each syllable of each pair's word with the next two: roman, pos, n, a, b, c."""
+    aks = pairs.select("roman", syllables(F.col("dev")).alias("s"))
     at = aks.select("roman", F.size("s").alias("n"), "s", F.posexplode("s").alias("pos", "a"))
     return at.select("roman", "pos", "n", "a", F.get("s", F.col("pos") + 1).alias("b"), F.get("s", F.col("pos") + 2).alias("c"))
 
 
+def segs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``segs_of`` all distinct words."""
+    return segs_of(corpus(spark, sf_dir))
+
+
 def confirm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confirmations in order: uid, turn, pos, roman, dev."""
     t = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("uid"), "turn", F.posexplode(_tokens()).alias("pos", "roman"))
@@ -56,13 +61,13 @@ def qsegs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at.select("pos", "a", F.get("s", F.col("pos") + 1).alias("b"), F.get("s", F.col("pos") + 2).alias("c"))
 
 
-def _prefixes(df: DataFrame, *cols: str) -> DataFrame:
+def prefixes_of(df: DataFrame, *cols: str) -> DataFrame:
     """All prefixes of ``roman``, so that prefix joins are joins on equality."""
     return df.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("roman")), lambda i: F.substring("roman", F.lit(1), i))).alias("prefix"), "roman", *cols)
 
 
 def prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _prefixes(corpus(spark, sf_dir), "dev")
+    return prefixes_of(corpus(spark, sf_dir), "dev")
 
 
 def last_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +78,7 @@ def last_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def learned_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _prefixes(last_writes(spark, sf_dir), "dev", "frequency")
+    return prefixes_of(last_writes(spark, sf_dir), "dev", "frequency")
 
 
 SOURCES = {f.__name__: f for f in (corpus, corpus_raw, segs, confirm, query, qsegs, prefixes, learned_prefixes)}

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections import Counter
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 SCHEMA = "uid long, turn long, pos int, roman string, dev string"
 
@@ -21,3 +25,28 @@ def learn(spark: SparkSession, folder: str, checkpoint: str) -> DataFrame:
     q = words.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
+
+
+def _followers(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """A user's pairs of words in a row, counted; the state is the user's last word."""
+    last, found = (state.get[0] if state.exists else None), Counter()
+    for _, _, dev in sorted((t, p, d) for f in frames for t, p, d in zip(f["turn"], f["pos"], f["dev"], strict=True)):
+        if last is not None:
+            found[last, dev] += 1
+        last = dev
+    if last is not None:
+        state.update((last,))
+    yield pd.DataFrame([(a, b, n) for (a, b), n in found.items()], columns=["prev", "dev", "n"])
+
+
+def learn_context(spark: SparkSession, folder: str, checkpoint: str, out: str) -> DataFrame:
+    """Read confirmations in ``folder`` that no run before has read, append their counts to ``out``: all so far as prev, dev, n.
+
+    A user's rows of one run are ordered by (turn, pos); later runs must bring later rows. The word before the first of a
+    run comes from the state in ``checkpoint``.
+    """
+    events = spark.readStream.schema(SCHEMA).parquet(folder).where("dev is not null")
+    pairs = events.groupBy("uid").applyInPandasWithState(_followers, "prev string, dev string, n long", "last string", "append", GroupStateTimeout.NoTimeout)
+    q = pairs.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema("prev string, dev string, n long").parquet(out).groupBy("prev", "dev").agg(F.sum("n").alias("n"))
