@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.runtime import cut
+from ..plans.runtime import cut, spread
 from .align import CHUNK, clean, seed_emissions, seeds
 
 #: A model's rows are bounded by syllables and chunks; beyond this the E-step would have to join instead.
@@ -95,7 +95,7 @@ def priors(counts: DataFrame) -> DataFrame:
 
 def train(pairs: DataFrame, *, iterations: int = 12, smoothing: float = 0.05, seeded: bool = True) -> DataFrame:
     """(roman, dev) -> a, chunk, p. Without ``seeded`` every seeded pair starts from 1."""
-    ready = cut(clean(pairs).select("roman", "aks"))
+    ready = cut(spread(clean(pairs).select("roman", "aks"), "roman"))
     counts = cut(seeds(pairs))
     prior = cut(priors(counts))
     now = cut(seed_emissions(counts) if seeded else counts.select("a", "chunk", F.lit(1.0).alias("p")))

@@ -16,6 +16,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by ``keys`` to all cores: adaptive execution packs few bytes into one task, however much work a row is."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
 def numbered(df: DataFrame, order: str, out: str) -> DataFrame:
     """Rows with their place by ``order`` from 0, as column ``out``: range partitions are counted, then numbered each by itself."""
     dealt = cut(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import SYLLABLE, derived, syllables, trim_all
+from ..plans.runtime import spread
 
 PAIR = "`english word` STRING, `native word` STRING, source STRING"
 
@@ -24,7 +25,8 @@ def _tokens(text: str = "text"):
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct (roman, dev) of all words of ``documents``."""
     words = _table(spark, sf_dir, "documents").select(F.explode(_tokens()).alias("roman")).distinct()
-    return words.select("roman", F.expr(derived("roman")).alias("dev"))
+    # A generated column: filters on a derived word would otherwise be copied below the exchange with all its functions.
+    return spread(words, "roman").select("roman", F.explode(F.array(F.expr(derived("roman")))).alias("dev"))
 
 
 def corpus_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
