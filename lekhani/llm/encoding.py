@@ -40,8 +40,8 @@ class Encoder:
     """Encodes texts as ``Tokenizer.encode(text, add_special_tokens=False)`` does.
 
     Texts are cut where both public tokenizers always cut; the ids of each different chunk are looked up by a 64-bit
-    fingerprint, and only new chunks go to the library. About ``keep`` chunks are kept. Texts with odd white space
-    are encoded as a whole. Strings of special tokens in a text are ordinary text.
+    fingerprint, and only new chunks go to the library. About ``keep`` chunks are kept. Texts with odd white space,
+    or with the string of an added token, which the library matches across cuts, are encoded as a whole.
     """
 
     def __init__(self, path: str, keep: int = 1_500_000):
@@ -49,7 +49,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.keep = keep
         self._clear()
 
@@ -91,7 +91,7 @@ class Encoder:
         return starts, lengths
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [bool(t) and not _ODD.search(t) for t in texts]
+        plain = [bool(t) and not _ODD.search(t) and not any(x in t for x in self.added) for t in texts]
         coded = [t.encode("utf-8", "surrogatepass") for t, ok in zip(texts, plain, strict=True) if ok]
         out = []
         if coded:

@@ -130,6 +130,18 @@ def test_encoder_is_exact():
         assert all(list(a) == b.ids for a, b in zip(e.batch(texts), want, strict=True))
 
 
+@pytest.mark.parametrize(("name", "ids"), [("byte_bpe_50k.json", [505, 220, 50256, 734]), ("word_bpe_49k.json", [637, 49407, 1237])])
+def test_added_tokens_are_the_librarys(name, ids):
+    from tokenizers import Tokenizer
+
+    fresh, r = Tokenizer.from_file(tokenizer(name)), random.Random(4)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|", "|>", "endoftext", "<|EndOfText|>", " ", "\n", "a", "word", "é", "'s", "!"]
+    texts = ["one <|endoftext|> two", *["".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(2000)]]
+    got = [x.tolist() for x in Encoder(tokenizer(name)).batch(texts)]
+    assert got[0] == ids
+    assert got == [x.ids for x in fresh.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_token_files(docs, none):
     e = Encoder(tokenizer("word_bpe_49k.json"))
     got = sorted(token_files.round_trip(docs, tokenizer("word_bpe_49k.json")).collect(), key=lambda r: r["start"])
