@@ -116,12 +116,17 @@ def decode_all(queries: DataFrame, model: Model, k: int = 8, config: Config = Co
     return spread.mapInPandas(run, "roman string, dev string, emit double, lm double, syllables int, rank int")
 
 
-def rerank(candidates: DataFrame, lexicon: DataFrame, weights: tuple = (1.0, 1.0, 0.0, 0.0)) -> DataFrame:
-    """Candidates in order of the weighted features -emit, -lm, -syllables, in lexicon: with rscore and new rank."""
+def featured(candidates: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Candidates with ``f``: -emit, -lm, -syllables, in lexicon."""
     known = lexicon.select("roman", "dev").distinct().withColumn("known", F.lit(1.0))
     x = candidates.join(known, ["roman", "dev"], "left")
-    features = [-F.col("emit"), -F.col("lm"), -F.col("syllables").cast("double"), F.coalesce("known", F.lit(0.0))]
-    score = sum((f * float(w) for f, w in zip(features, weights, strict=True)), F.lit(0.0))
+    return x.withColumn("f", F.array(-F.col("emit"), -F.col("lm"), -F.col("syllables").cast("double"), F.coalesce("known", F.lit(0.0)))).drop("known")
+
+
+def rerank(candidates: DataFrame, lexicon: DataFrame, weights: tuple = (1.0, 1.0, 0.0, 0.0)) -> DataFrame:
+    """Candidates in order of their weighted features: with rscore and new rank."""
+    x = featured(candidates, lexicon)
+    score = sum((F.col("f")[i] * float(w) for i, w in enumerate(weights)), F.lit(0.0))
     x = x.withColumn("rscore", score)
     order = Window.partitionBy("roman").orderBy(F.col("rscore").desc(), F.col("rank"))
     return x.withColumn("new_rank", F.row_number().over(order)).select("roman", "dev", "rscore", F.col("new_rank").alias("rank"))

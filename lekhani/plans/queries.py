@@ -129,13 +129,27 @@ def _dev(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TRIED = [(1.0, 1.0, 1.0, 1.0), (0.0, 1.0, 0.0, 0.0), (1.0, 0.0, 0.5, 0.0), (0.0, 0.0, 1.0, 2.0), (0.5, 2.0, 0.0, 1.0)]
-_GRID = [0.0, 0.25, 0.5, 1.0, 2.0, 4.0]
+# Weights tried of emission, lm, length and lexicon.
+_GRIDS = [
+    [0.25, 0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 3.0, 4.0],
+    [0.25, 0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 3.0, 4.0],
+    [-1.0, -0.5, -0.25, -0.1, 0.0, 0.1, 0.25, 0.5, 1.0],
+    [0.0, 2.0, 5.0, 10.0, 20.0, 40.0, 80.0, 160.0],
+]
+
+
+def _decoded_dev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The decoder's 50 best of known queries at beam 128, with the reranker's features."""
+    words = src.corpus(spark, sf_dir)
+    cases = src.query(spark, sf_dir).join(words.withColumnRenamed("dev", "target"), "roman")
+    x = decode.featured(decode.decode_all(cases, _model(spark, sf_dir), 50, decode.Config(beam=128)), words).join(cases, "roman")
+    return x.select(F.col("roman").alias("case_id"), F.col("rank").alias("pos"), "f", (F.col("dev") == F.col("target")).alias("is_target"))
 
 
 def _tuned(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..plans.runtime import cut
 
-    weights, hits = evaluate.tune(cut(_dev(spark, sf_dir)), [_GRID] * 4)
+    weights, hits = evaluate.tune(cut(_decoded_dev(spark, sf_dir)), _GRIDS)
     return spark.createDataFrame([(*weights, hits)], "w0 double, w1 double, w2 double, w3 double, hits long")
 
 
