@@ -65,9 +65,16 @@ def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.outcomes(_cases(spark, sf_dir), QUERIES["lexicon_prefix_topk"](spark, sf_dir))
 
 
-def _suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _suggest(spark: SparkSession, sf_dir: str, count: int = 8) -> DataFrame:
     learned = src.confirm(spark, sf_dir).select(F.col("roman").alias("variant"), "dev").distinct()
-    return ranking.suggest(src.query(spark, sf_dir), lexicon=src.corpus(spark, sf_dir), learned=learned, learned_prefixes=src.learned_prefixes(spark, sf_dir), model=_model(spark, sf_dir))
+    return ranking.suggest(src.query(spark, sf_dir), lexicon=src.corpus(spark, sf_dir), learned=learned, learned_prefixes=src.learned_prefixes(spark, sf_dir), model=_model(spark, sf_dir), count=count)
+
+
+def _suggest_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of the ranker's 10 best."""
+    from ..plans.runtime import cut
+
+    return cut(evaluate.outcomes(_cases(spark, sf_dir), _suggest(spark, sf_dir, 10)))
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,8 +160,12 @@ def _tuned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(*weights, hits)], "w0 double, w1 double, w2 double, w3 double, hits long")
 
 
-def _intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _outcomes(spark, sf_dir).groupBy("source").agg(F.percentile("rr", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("p"))
+def _means(out: DataFrame) -> DataFrame:
+    return out.agg(F.count(F.lit(1)).alias("total"), F.round(F.avg("top1"), 6).alias("top1"), F.round(F.avg("top5"), 6).alias("top5"), F.round(F.avg("top10"), 6).alias("top10"), F.round(F.avg("rr"), 6).alias("mrr"))
+
+
+def _intervals(out: DataFrame) -> DataFrame:
+    p = out.groupBy("source").agg(F.percentile("rr", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("p"))
     return p.select("source", *[F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("low", "middle", "high"))])
 
 
@@ -191,8 +202,13 @@ QUERIES |= {
     "bounded_edit": lambda s, d: QUERIES["vowel_collapse"](s, d).select("roman", "collapsed", bounded_distance(F.col("roman"), F.col("collapsed"), 2).alias("distance")),
     "tsv_parse": lambda s, d: src.parse_tsv(_lines(s, d, "tsv")).select("roman", F.array_join("targets", "|").alias("targets")),
     "jsonl_parse": lambda s, d: src.parse_jsonl(_lines(s, d, "jsonl")).select("roman", "dev"),
-    "eval_mrr": lambda s, d: _outcomes(s, d).agg(F.count(F.lit(1)).alias("total"), F.round(F.avg("top1"), 6).alias("top1"), F.round(F.avg("top5"), 6).alias("top5"), F.round(F.avg("top10"), 6).alias("top10"), F.round(F.avg("rr"), 6).alias("mrr")),
-    "percentile_ci": _intervals,
+    "eval_mrr": lambda s, d: _means(_outcomes(s, d)),
+    "percentile_ci": lambda s, d: _intervals(_outcomes(s, d)),
+    "suggest_hits": lambda s, d: _rounded(_suggest_outcomes(s, d), "rr"),
+    "suggest_rollup": lambda s, d: evaluate.rollup(_suggest_outcomes(s, d)),
+    "suggest_mrr": lambda s, d: _means(_suggest_outcomes(s, d)),
+    "suggest_percentile_ci": lambda s, d: _intervals(_suggest_outcomes(s, d)),
+    "suggest_bootstrap_ci": lambda s, d: evaluate.bootstrap(_suggest_outcomes(s, d)),
     "mert_objective": lambda s, d: evaluate.objective(_dev(s, d), _TRIED),
     "mert_grid": _tuned,
 }

@@ -62,3 +62,26 @@ def test_weights_are_searched_on_the_decoders_candidates(spark, tables, model):
     want = _searched(cases, [low, low, [-1.0, -0.5, -0.25, -0.1, 0.0, 0.1, 0.25, 0.5, 1.0], [0.0, 2.0, 5.0, 10.0, 20.0, 40.0, 80.0, 160.0]])
     assert max(len(c) for c, _ in cases) == 50
     assert tuple(plans.QUERIES["mert_grid"](spark, tables).first()) == want
+
+
+def test_the_rankers_ten_best_are_evaluated(spark, tables, model):
+    word = {r["roman"]: r["dev"] for r in src.corpus(spark, tables).collect()}
+    ranks = {(r["roman"], r["dev"]): r["rank"] for r in plans._suggest(spark, tables, 20).collect()}
+    got = {r["roman"]: r for r in plans.QUERIES["suggest_hits"](spark, tables).collect()}
+    assert got.keys() == {"ka", "kal", "mala", "nama", "kamal", "nepali", "kamalama"}
+    at = {q: ranks.get((q, word[q]), 99) for q in got}
+    for q, r in got.items():
+        assert (r["top1"], r["top5"], r["top10"]) == (at[q] <= 1, at[q] <= 5, at[q] <= 10)
+        assert r["rr"] == pytest.approx(1 / at[q] if at[q] <= 10 else 0, abs=1e-6)
+    total = plans.QUERIES["suggest_mrr"](spark, tables).first()
+    assert total["mrr"] == pytest.approx(sum(r["rr"] for r in got.values()) / len(got), abs=1e-5)
+
+
+def test_a_target_in_tenth_place_counts(spark, tables, model, monkeypatch):
+    def tenth(queries, *, count, **_):
+        words = [("ka", "क" if i == 10 else str(i), i) for i in range(1, count + 1)]
+        return spark.createDataFrame(words, "roman string, dev string, rank int")
+
+    monkeypatch.setattr(plans.ranking, "suggest", tenth)
+    r = next(r for r in plans.QUERIES["suggest_hits"](spark, tables).collect() if r["roman"] == "ka")
+    assert (r["top1"], r["top5"], r["top10"], r["rr"]) == (0, 0, 1, 0.1)
