@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.runtime import numbered
 from .common import cut
 
 DIMENSIONS = ("size", "first_doc", "source", "lang")
@@ -21,9 +22,13 @@ class _Node:
     split: tuple | None = None  # (keys, values): left if keys < values
 
 
-def _code(s: Column) -> Column:
-    """The first seven bytes of a string as a number, in the order of strings; null is -1."""
-    return F.coalesce(F.conv(F.rpad(F.hex(F.substring(s.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long"), F.lit(-1))
+def _placed(groups: DataFrame, names: DataFrame, value: str, out: str, broadcast_rows: int = 100_000) -> DataFrame:
+    """``groups`` with the place of ``value`` among the distinct values of ``names``, from 0, as column ``out``; null is -1."""
+    places = cut(numbered(names.toDF("_v").where("_v IS NOT NULL").distinct(), "_v", "_place"))
+    if places.count() <= broadcast_rows:
+        places = F.broadcast(places)
+    x = groups.join(places, F.col(value) == F.col("_v"), "left")
+    return x.withColumn(out, F.coalesce(F.col("_place").cast("long"), F.lit(-1))).drop("_v", "_place")
 
 
 def _clamp(x: Column) -> Column:
@@ -110,7 +115,7 @@ def shard(docs: DataFrame, *, shards: int = 16, target_bytes: int | None = None,
 
     A node of k leaves is cut along its widest dimension (range relative to the whole level's) where its bytes divide
     as k // 2 to the rest. Dimensions are of the group of equal texts: bytes, smallest doc_id, smallest source and
-    language by their first seven bytes. So equal texts stay together, but where a group is so large that the leaves
+    language by their places among the distinct ones. So equal texts stay together, but where a group is so large that the leaves
     would differ by over ``group_slack`` of a leaf; then doc_id divides it. ``target_bytes``, if given, sets the number of
     shards to the whole size divided by it.
 
@@ -121,7 +126,8 @@ def shard(docs: DataFrame, *, shards: int = 16, target_bytes: int | None = None,
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"), F.xxhash64(text).alias("h"))
     d = cut(d)
     groups = d.groupBy("size", "crc", "h").agg(F.min("doc_id").alias("first_doc"), F.min("source").alias("s"), F.min("lang").alias("l"))
-    groups = groups.select(F.col("size").alias("gs"), F.col("crc").alias("gc"), F.col("h").alias("gh"), _clamp(F.col("first_doc")).alias("c1"), _code(F.col("s")).alias("c2"), _code(F.col("l")).alias("c3"))
+    groups = _placed(_placed(groups, d.select("source"), "s", "c2"), d.select("lang"), "l", "c3")
+    groups = groups.select(F.col("size").alias("gs"), F.col("crc").alias("gc"), F.col("h").alias("gh"), _clamp(F.col("first_doc")).alias("c1"), "c2", "c3")
     rows = d.join(groups, (F.col("size") == F.col("gs")) & (F.col("crc") == F.col("gc")) & (F.col("h") == F.col("gh")))
     key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
     low = F.lit((1 << 32) - 1)

@@ -76,6 +76,15 @@ def test_shards(docs, none):
     assert sharding.shard(none).count() == 0
 
 
+def test_shards_tell_sources_with_one_prefix_apart(spark):
+    rows = [(i, f"text {i:04d}", "en", f"commoncrawl-{2023 + i % 2}") for i in range(64)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), shards=4).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["shard"], set()).add(r["doc_id"] % 2)
+    assert sorted(map(len, by.values())) == [1, 1, 1, 1]
+
+
 @pytest.mark.parametrize("share", [80, 85])
 def test_signatures_lose_no_link(share):
     plan, rng, r = jaccard.Plan(share), np.random.default_rng(2), random.Random(2)
