@@ -5,12 +5,10 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 
-from .hashing import spans
-
 #: White space beyond the four usual characters, where cutting at spaces could change a tokenizer's pieces.
 _ODD = re.compile("[\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200b\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]")
 _ENCODERS: dict = {}
@@ -39,82 +37,67 @@ def _cuts(b: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes texts as ``Tokenizer.encode(text, add_special_tokens=False)`` does.
 
-    Texts are cut where both public tokenizers always cut; the ids of each different chunk are looked up by a 64-bit
-    fingerprint, and only new chunks go to the library. About ``keep`` chunks are kept. Texts with odd white space,
-    or with the string of an added token, which the library matches across cuts, are encoded as a whole.
+    Texts are cut where both public tokenizers always cut, and only chunks not met before go to the library. Chunks
+    are known by their bytes, so no two are ever taken for each other. The table is emptied when it holds over
+    ``keep`` chunks or ``keep_bytes`` bytes of them. Texts with odd white space, or with the string of an added token,
+    which the library matches across cuts, are encoded as a whole.
     """
 
-    def __init__(self, path: str, keep: int = 1_500_000):
+    def __init__(self, path: str, keep: int = 400_000, keep_bytes: int = 32_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.keep = keep
+        self.keep, self.keep_bytes = keep, keep_bytes
         self._clear()
 
     def _clear(self) -> None:
-        self.flat, self.used, self.count = np.zeros(1 << 16, np.uint32), 0, 0
-        self.tables = [tuple(np.empty(0, t) for t in (np.uint64, np.int64, np.int64))] * 2  # main and recent: names, starts, lengths
+        self.known: dict[bytes, int] = {}
+        self.held, self.used = 0, 0
+        self.flat, self.starts, self.lengths = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+
+    @staticmethod
+    def _room(x: np.ndarray, size: int) -> np.ndarray:
+        return x if size <= len(x) else np.concatenate([x, np.zeros(max(len(x), size - len(x)), x.dtype)])
 
-    def _learn(self, names: np.ndarray, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        got = [x.ids for x in self.tok.encode_batch_fast(chunks, add_special_tokens=False)]
-        n = np.fromiter(map(len, got), np.int64, len(got))
+    def _learn(self, chunks: list[bytes]) -> None:
+        got = [x.ids for x in self.tok.encode_batch_fast([c.decode("utf-8", "surrogatepass") for c in chunks], add_special_tokens=False)]
+        first, n = len(self.known), np.fromiter(map(len, got), np.int64, len(got))
         total = int(n.sum())
-        if self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), total), np.uint32)])
+        self.flat = self._room(self.flat, self.used + total)
         self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(got), np.uint32, total)
-        starts = self.used + np.cumsum(n) - n
+        self.starts, self.lengths = (self._room(x, first + len(chunks)) for x in (self.starts, self.lengths))
+        self.starts[first : first + len(chunks)] = self.used + np.cumsum(n) - n
+        self.lengths[first : first + len(chunks)] = n
         self.used += total
-        self.count += len(names)
-        recent = self._join(self.tables[1], (names, starts, n))
-        if len(recent[0]) * 4 > len(self.tables[0][0]):
-            self.tables = [self._join(self.tables[0], recent), tuple(x[:0] for x in recent)]
-        else:
-            self.tables[1] = recent
-        return starts, n
-
-    @staticmethod
-    def _join(a: tuple, b: tuple) -> tuple:
-        both = [np.concatenate(x) for x in zip(a, b, strict=True)]
-        order = np.argsort(both[0], kind="stable")
-        return tuple(x[order] for x in both)
-
-    def _look(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and lengths; length -1 where unknown."""
-        starts, lengths = np.zeros(len(names), np.int64), np.full(len(names), -1, np.int64)
-        for known, s, n in self.tables:
-            if len(known):
-                at = np.minimum(np.searchsorted(known, names), len(known) - 1)
-                hit = known[at] == names
-                starts[hit], lengths[hit] = s[at[hit]], n[at[hit]]
-        return starts, lengths
+        self.held += sum(map(len, chunks))
+        self.known.update(zip(chunks, range(first, first + len(chunks)), strict=True))
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         plain = [bool(t) and not _ODD.search(t) and not any(x in t for x in self.added) for t in texts]
         coded = [t.encode("utf-8", "surrogatepass") for t, ok in zip(texts, plain, strict=True) if ok]
         out = []
         if coded:
+            if len(self.known) > self.keep or self.held > self.keep_bytes:
+                self._clear()
             data = b"".join(coded)
-            b = np.frombuffer(data, np.uint8)
-            edge = np.zeros(len(b) + 1, bool)
-            edge[1:-1] = _cuts(b)
+            edge = np.zeros(len(data) + 1, bool)
+            edge[1:-1] = _cuts(np.frombuffer(data, np.uint8))
             firsts = np.concatenate([[0], np.cumsum([len(x) for x in coded])])
             edge[firsts] = True
             where = np.flatnonzero(edge)
-            start, end = where[:-1], where[1:]
-            if self.count > self.keep:
-                self._clear()
-            names, first, back = np.unique(spans(b, start, end), return_index=True, return_inverse=True)
-            at, n = self._look(names)
-            new = np.flatnonzero(n < 0)
+            ends = where.tolist()
+            chunks = [data[x:y] for x, y in zip(ends, ends[1:], strict=False)]
+            nth = np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int64, len(chunks))
+            new = np.flatnonzero(nth < 0)
             if len(new):
-                chunks = [data[x:y].decode("utf-8", "surrogatepass") for x, y in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)]
-                at[new], n[new] = self._learn(names[new], chunks)
-            at, n = at[back], n[back]
+                self._learn(list(dict.fromkeys(chunks[i] for i in new.tolist())))
+                nth[new] = [self.known[chunks[i]] for i in new.tolist()]
+            at, n = self.starts[nth], self.lengths[nth]
             ends = np.cumsum(n)
             flat = self.flat[np.arange(int(ends[-1])) + np.repeat(at - (ends - n), n)]
-            cut = np.concatenate([[0], ends])[np.searchsorted(start, firsts[1:-1])]
+            cut = np.concatenate([[0], ends])[np.searchsorted(where, firsts[1:-1])]
             out = np.split(flat, cut)
         got = iter(out)
         return [next(got) if ok else np.array(self.tok.encode(t, add_special_tokens=False).ids if t else [], np.uint32) for t, ok in zip(texts, plain, strict=True)]

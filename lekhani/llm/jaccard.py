@@ -15,14 +15,17 @@ from pyspark.sql import functions as F
 
 from .common import cut, release, small_batches
 from .components import components
-from .hashing import GOLDEN, mix, spans
+from .hashing import GOLDEN, mix
+from .hashing import words as word_hashes
+
 
 def shingles(text: str | None, n: int) -> np.ndarray:
     """Sorted distinct 64-bit fingerprints of the runs of ``n`` words; of all words as one if they are fewer.
 
-    A-Z are lower-cased; words are runs without white space. A word's fingerprint is a polynomial in its bytes.
+    A-Z are lower-cased; words are runs without white space. Words are known by ``hashing.words``.
     """
-    b = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8)
+    data = (text or "").encode("utf-8", "surrogatepass").lower()
+    b = np.frombuffer(data, np.uint8)
     if not len(b):
         return np.empty(0, np.uint64)
     inside = np.empty(len(b) + 2, bool)
@@ -32,7 +35,7 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     start, end = edge[::2], edge[1::2]
     if not len(start):
         return np.empty(0, np.uint64)
-    w = spans(b, start, end)
+    w = word_hashes(data, start, end)
     k = min(n, len(w))
     h = np.full(len(w) - k + 1, np.uint64(k), np.uint64)
     for i in range(k):
