@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import gc
-import tempfile
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,13 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only where the setting is absent (local tests) a temporary folder is made.
-    """
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; without that setting it raises."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lekhani-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
@@ -55,6 +56,42 @@ def running(df: DataFrame, keys: list[str], bucket: str, order: list, value: str
     return joined.withColumn(out, F.col("_base") + F.sum(value).over(own)).drop("_base")
 
 
+def attach(rows: DataFrame, table: DataFrame, keys: dict[str, str], count: str, total: int, *, most: int = 50_000) -> DataFrame:
+    """``rows`` joined with the columns of ``table``, which has one row a key; rows without one go. Nulls match.
+
+    keys: column of ``rows`` -> column of ``table``, whose column ``count`` says how many rows a key has, of ``total``.
+    Keys with over total / ``most`` rows, which are fewer than ``most``, are sent to every task, so that no task gets
+    all rows of a hot key; only rows of the others are shuffled. ``rows`` and ``table`` are read twice: cut them before.
+    """
+    limit = max(1000, -(-total // most))
+    names = [f"__lekhani_a{i}" for i in range(len(keys))]
+    rest = [c for c in table.columns if c not in keys.values() and c != count]
+    t = table.select(*[F.col(k).alias(n) for k, n in zip(keys.values(), names, strict=True)], *rest, F.col(count).alias("__lekhani_n"))
+    hot, cold = (t.where(F.col("__lekhani_n") > limit), t.where(F.col("__lekhani_n") <= limit))
+
+    def on(right: DataFrame) -> Column:
+        return reduce(and_, [rows[k].eqNullSafe(right[n]) for k, n in zip(keys, names, strict=True)])
+
+    one = rows.join(F.broadcast(hot), on(hot))
+    left = rows.join(F.broadcast(hot.select(*names)), on(hot), "left_anti")
+    two = left.join(cold, reduce(and_, [left[k].eqNullSafe(cold[n]) for k, n in zip(keys, names, strict=True)]))
+    return one.unionByName(two).drop("__lekhani_n", *names)
+
+
+def ranks(units: DataFrame, order: list[str], times: str | None = None) -> DataFrame:
+    """Distinct ``units`` with ``name``: their place from 0 in ``order``, by a range sort and prefix sums of partitions.
+
+    With ``times`` a unit takes so many places. The window over partitions sees one row a partition.
+    """
+    n = F.lit(1).cast("long") if times is None else F.col(times)
+    dealt = cut(units.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).withColumn("_n", n))
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = dealt.groupBy("_part").agg(F.sum("_n").alias("_s")).withColumn("_base", F.coalesce(F.sum("_s").over(ahead), F.lit(0)))
+    own = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    x = dealt.join(F.broadcast(base.select("_part", "_base")), "_part")
+    return x.withColumn("name", F.col("_base") + F.sum("_n").over(own) - F.col("_n")).drop("_part", "_n", "_base")
+
+
 def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
     """Bound what Python workers hold at once, since texts can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
