@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut
+from .common import SPACE, attach, cut, ranks
 
 #: Runs that are not already one plain space.
 _RUNS = f"[\\x09-\\x0D][{SPACE}]*|\\x20[{SPACE}]+"
@@ -18,79 +18,90 @@ def normal(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), _RUNS, " ")
 
 
-def _named(state: DataFrame, again: Callable[[], DataFrame], bucket: Callable[[Column], Column]) -> DataFrame:
-    """Replace the array ``units`` of each row by integer names: (bucket, rank of the unit among its bucket's units).
+def _names_of(distinct: Callable[[], DataFrame]) -> tuple[DataFrame, DataFrame | None]:
+    """Integer names of distinct units (h, unit): their places in a sort by hash and bytes.
 
-    Distinct units are sorted within their bucket, so two names are equal only if the units are. A bucket is a 64-bit
-    hash, so nearly always it has one unit, whose rank is 1 without a join; where some bucket has several, their ranks
-    are joined back. ``again`` gives the rows (one column ``unit``) to look for such buckets.
+    Returns names of the hashes that one unit has alone (h, name), and (h, unit, name) for the others, or None without
+    any. So only narrow rows are sorted, and bytes decide wherever hashes can't: two names are equal only if the units are.
     """
-    distinct = again().select(bucket(F.col("unit")).alias("h"), "unit").distinct()
-    several = distinct.groupBy("h").count().where("count > 1").select("h")
-    first = F.transform("units", lambda u: F.struct(bucket(u).alias("h"), F.lit(1).alias("r")))
+    counted = ranks(distinct().groupBy("h").agg(F.count(F.lit(1)).alias("k")), ["h"], "k")
+    several = counted.where("k > 1")
+    one = counted.where("k = 1").select("h", "name")
     if several.isEmpty():
-        return state.withColumn("names", first).drop("units")
-    ranks = distinct.join(several, "h").withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("unit")))
-    each = state.select("rid", F.posexplode("units").alias("pos", "unit")).withColumn("h", bucket(F.col("unit")))
-    each = each.join(ranks, ["h", "unit"], "left").select("rid", F.struct("pos", F.struct("h", F.coalesce("r", F.lit(1)).alias("r")).alias("n")).alias("x"))
-    names = each.groupBy("rid").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["n"]).alias("names"))
-    return cut(state.drop("units").join(names, "rid"))
+        return one, None
+    found = distinct().join(several.select("h", "name"), "h")
+    place = F.row_number().over(Window.partitionBy("h").orderBy("unit")) - 1
+    return one, cut(found.select("h", "unit", (F.col("name") + place).alias("name")))
 
 
 def exact_dedup(docs: DataFrame, *, block_bytes: int = 4096, bucket: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """The class of equal texts of every row.
 
-    The normalised text is cut into blocks of ``block_bytes``; equal blocks get equal integer names and different
-    blocks different ones, and names of adjacent pairs are named again until one is left. (Number of blocks, last
-    name) is the identity of a text: equal exactly when the texts are, whatever the hash. ``bucket`` spreads units for
-    sorting; a weak one costs joins, not correctness.
+    The normalised text is cut into blocks of ``block_bytes``. All distinct blocks are sorted and named by their place,
+    the blocks of a text become its string of names, and then distinct pairs of neighbouring names are sorted and
+    named, level by level, until one name is left. (Number of blocks, last name) is the identity of a text: equal
+    exactly when the texts are. Blocks are sorted by ``bucket``, a hash, then by their bytes; a weak hash costs time,
+    not correctness. Names of blocks and pairs that many rows share are sent to every task, so that no task joins all
+    rows of one.
 
     Returns doc_id, rid, keep_id, group_size, kept, text_sha256, n_bytes. Null text is the empty text. Of equal texts the
     smallest doc_id stays, null last; of rows that repeat with that doc_id, one. An empty table gives no rows.
     """
     clean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normal(F.col("text")).alias("norm"))
     blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0))), lambda i: F.substring(F.col("bin"), i * block_bytes + 1, F.lit(block_bytes)))
-
-    def cut_up(df: DataFrame) -> DataFrame:
-        df = df.withColumn("bin", F.col("norm").cast("binary"))
-        return df.withColumn("n", F.ceil(F.octet_length("bin") / block_bytes).cast("int")).withColumn("units", blocks)
-
-    start = cut_up(clean).select("doc_id", F.monotonically_increasing_id().alias("rid"), F.sha2("norm", 256).alias("text_sha256"), F.octet_length("norm").alias("n_bytes"), "units")
-    if bucket is F.xxhash64:
-        # Names are settled in the text's own row; the text itself goes to the check of buckets only.
-        state = cut(start.withColumn("names0", F.transform("units", lambda u: F.struct(bucket(u).alias("h"), F.lit(1).alias("r")))).drop("units"))
-        units = cut_up(clean).select(F.explode_outer("units").alias("unit"))
-        distinct = units.select(bucket(F.col("unit")).alias("h"), "unit").distinct()
-        if distinct.groupBy("h").count().where("count > 1").isEmpty():
-            state = state.withColumnRenamed("names0", "names")
-        else:
-            state = None
-    else:
-        state = None
-    if state is None:
-        start = cut(start)
-        state = _named(start, lambda: start.select(F.explode_outer("units").alias("unit")), bucket)
-
-    state = state.withColumn("blocks", F.size("names"))
-    done, longest = [], state.agg(F.max("blocks")).first()[0] or 1
-    while longest > 1:
-        done.append(state.where("size(names) = 1"))
-        pairs = F.transform(F.sequence(F.lit(0), F.expr("(size(names) - 1) div 2")), lambda j: F.struct(F.get("names", j * 2).alias("a"), F.get("names", j * 2 + 1).alias("b")))
-        many = state.where("size(names) > 1").withColumn("units", pairs).drop("names")
-        state = cut(_named(many, lambda many=many: many.select(F.explode_outer("units").alias("unit")), bucket))
-        longest = (longest + 1) // 2
-    for part in done:
+    clean = clean.withColumn("bin", F.col("norm").cast("binary"))
+    clean = clean.withColumn("n", F.ceil(F.octet_length("bin") / block_bytes).cast("int")).withColumn("units", blocks)
+
+    def distinct() -> DataFrame:
+        return clean.select(F.explode("units").alias("unit")).select(bucket(F.col("unit")).alias("h"), "unit").distinct()
+
+    one, several = _names_of(distinct)
+    hashes = F.transform("units", lambda u: bucket(u))
+    bytes_too = F.lit(None).cast("array<binary>") if several is None else F.col("units")
+    # The bytes of blocks stay behind, but where some hash can't tell two of them apart.
+    start = clean.select("doc_id", F.monotonically_increasing_id().alias("rid"), F.sha2("norm", 256).alias("text_sha256"), F.octet_length("norm").alias("n_bytes"), hashes.alias("h"), bytes_too.alias("units"))
+    start = cut(start)
+    each = start.select("rid", F.size("h").alias("blocks"), F.posexplode(F.arrays_zip("h", F.coalesce("units", F.array_repeat(F.lit(None).cast("binary"), F.size("h"))).alias("units"))).alias("pos", "x"))
+    each = cut(each.select("rid", "blocks", "pos", "x.h", F.col("x.units").alias("unit")))
+    total = each.count()
+    uses = cut(each.groupBy("h").agg(F.count(F.lit(1)).alias("c")))
+    narrow = each.select("rid", "blocks", "pos", "h")
+    level = attach(narrow, cut(one.join(uses, "h")), {"h": "h"}, "c", total).select("rid", "blocks", "pos", "name")
+    if several is not None:
+        often = several.join(each.groupBy("h", "unit").agg(F.count(F.lit(1)).alias("c")), ["h", "unit"])
+        level = level.unionByName(attach(each, cut(often), {"h": "h", "unit": "unit"}, "c", total).select("rid", "blocks", "pos", "name"))
+
+    # The rows of texts that still have several names; the last name of each other text is put aside.
+    level = cut(level)
+    done, left = [level.where("blocks = 1").select("rid", "blocks", "name")], level.where("blocks > 1").withColumn("width", F.col("blocks"))
+    while not left.isEmpty():
+        half = F.floor(F.col("pos") / 2).cast("int")
+        pairs = left.groupBy("rid", "blocks", "width", half.alias("pos")).agg(F.min(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("a"), F.min(F.when(F.col("pos") % 2 == 1, F.col("name"))).alias("b"))
+        pairs = cut(pairs)
+        total = pairs.count()
+        named = ranks(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")), ["a", "b"])
+        level = attach(pairs, cut(named), {"a": "a", "b": "b"}, "c", total)
+        level = cut(level.select("rid", "blocks", F.expr("(width + 1) div 2").cast("int").alias("width"), "pos", "name"))
+        done.append(level.where("width = 1").select("rid", "blocks", "name"))
+        left = level.where("width > 1")
+    state = done[0]
+    for part in done[1:]:
         state = state.unionByName(part)
-    state = state.select("doc_id", "rid", "text_sha256", "n_bytes", "blocks", F.col("names")[0].alias("name"))
+    rows = start.select(F.col("rid").alias("_rid"), "doc_id", "text_sha256", "n_bytes")
+    state = cut(state.join(rows, F.col("rid") == F.col("_rid")).drop("_rid"))
 
     best = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "rid"))
-    groups = state.groupBy("blocks", "name").agg(best.alias("_best"), F.count(F.lit(1)).alias("group_size"))
-    out = state.join(groups, ["blocks", "name"])
+    groups = cut(state.groupBy("blocks", "name").agg(best.alias("_best"), F.count(F.lit(1)).alias("group_size")))
+    out = attach(state, groups.withColumn("_c", F.col("group_size")), {"blocks": "blocks", "name": "name"}, "_c", state.count())
     return out.select("doc_id", "rid", F.col("_best.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("_best.rid")).alias("kept"), "text_sha256", "n_bytes")
 
 
 def drop_exact(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that ``exact_dedup`` doesn't keep; all columns as they are."""
+    """``docs`` without the rows that ``exact_dedup`` doesn't keep; all columns as they are.
+
+    Null text counts as empty; a null doc_id stays only where its text has no other; of rows that repeat one stays; an
+    empty table gives no rows.
+    """
     found = cut(exact_dedup(docs).select("doc_id", "text_sha256", "kept"))
     stay = found.where("kept").select(F.col("doc_id").alias("__lekhani_i"), F.col("text_sha256").alias("__lekhani_h"))
     x = docs.withColumn("__lekhani_sha", F.sha2(normal(F.col("text")), 256))
