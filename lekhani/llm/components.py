@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release
+from .common import attach, cut, release
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -13,8 +13,10 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         both = both.unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-    seen = both.join(least, F.col("u") == F.col("w"))
+    both = cut(both)
+    least = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"), "c"))
+    seen = attach(both, least, {"u": "w"}, "c", both.count())
+    least = least.drop("c")
     if large:
         out = seen.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
@@ -26,9 +28,11 @@ def components(links: DataFrame) -> DataFrame:
     """Links (a, b) of long nodes -> (node, root) for each node with a link; the root is the smallest node.
 
     Large and small stars alternate, each round written to the shared folder, until nothing changes; then every node
-    is linked to its root only. Links stay distributed; two numbers a round come to the driver.
+    is linked to its root only. Links stay distributed; a few numbers a round come to the driver; the least neighbour of
+    a node with very many is sent to every task. Links of null or of a node to itself count for nothing; links that
+    repeat, in either direction, count once; an empty table gives no rows.
     """
-    now = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    now = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())  # greatest passes over nulls, so a link to null is one to itself
     mark = None
     while True:
         got = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

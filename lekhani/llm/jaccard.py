@@ -13,7 +13,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, release, small_batches
+from .common import attach, cut, release, small_batches
 from .components import components
 from .hashing import GOLDEN, mix
 from .hashing import words as word_hashes
@@ -214,9 +214,13 @@ def jaccard_components(docs: DataFrame, *, words: int = 4, share: int = 85, few:
        sets is dealt into blocks, each with the cluster's ``leaders``; if that doesn't connect it, all blocks are compared
        but those that are already one component. Only links that connect something are returned.
 
-    Returns doc_id, text_hash, n_shingles, component_id, class_id (of equal sets). Null and empty texts have no shingles and
-    are components of their own; null doc_ids don't name a component unless all are null; rows that repeat are
-    separate rows; an empty table gives no rows. Sets are known by 64-bit fingerprints of shingles.
+    Large sets are not looked up element by element: their inverted lists are those of parts, which linked sets share
+    enough of, so that a list of a common word is never scanned. Lists of elements are scanned in the exact check.
+
+    Returns doc_id, text_hash, n_shingles, component_id, class_id (of equal sets), first_hash (text_hash of the component's
+    first document). Null and empty texts have no shingles and are components of their own; null doc_ids don't name a
+    component unless all are null; rows that repeat are separate rows; an empty table gives no rows. Sets are known by
+    64-bit fingerprints of shingles.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -310,19 +314,36 @@ def jaccard_components(docs: DataFrame, *, words: int = 4, share: int = 85, few:
             more = cut(_check(texts(pairs), words, share, parts))
             found = components(true.unionByName(more))
 
-    roots = found.select(F.col("node").alias("name"), "root")
-    out = every.select("doc_id", "text_hash", "n", "name").join(roots, "name", "left")
-    out = cut(out.select("doc_id", "text_hash", "n", "name", F.coalesce("root", "name").alias("root")))
-    first = out.where("root is not null").groupBy(F.col("root").alias("_r")).agg(F.min("doc_id").alias("component_id"))
-    out = out.join(first, F.col("root") == F.col("_r"), "left")
-    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("name").alias("class_id"))
+    roots = found.select(F.col("node").alias("_node"), "root")
+    copies = every.where("name is not null").groupBy(F.col("name").alias("_name")).agg(F.count(F.lit(1)).alias("c"))
+    roots = cut(copies.join(roots, F.col("_name") == F.col("_node"), "left").select("_name", F.coalesce("root", "_name").alias("root"), "c"))
+    rows = every.select("doc_id", "text_hash", "n", "name")
+    total = rows.count()
+    with_set = cut(attach(rows, roots, {"name": "_name"}, "c", total))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "text_hash"))
+    first = cut(with_set.groupBy(F.col("root").alias("_r")).agg(least.alias("f"), F.count(F.lit(1)).alias("c")))
+    out = attach(with_set, first.select("_r", F.col("f.doc_id").alias("component_id"), F.col("f.text_hash").alias("first_hash"), "c"), {"root": "_r"}, "c", total)
+    alone = rows.where("name is null").select("doc_id", "text_hash", "n", "name", F.col("doc_id").alias("component_id"), F.col("text_hash").alias("first_hash"))
+    out = out.select("doc_id", "text_hash", "n", "name", F.coalesce("component_id", "doc_id").alias("component_id"), "first_hash").unionByName(alone)
+    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "component_id", F.col("name").alias("class_id"), "first_hash")
 
 
 def drop_near(docs: DataFrame, *, words: int = 5, share: int = 80, broadcast_rows: int = 500_000) -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest doc_id; all columns as they are."""
-    found = jaccard_components(docs, words=words, share=share)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__lekhani_i"), F.col("text_hash").alias("__lekhani_h"))
-    x, gone = docs.withColumn("__lekhani_x", F.xxhash64("text")), cut(gone.distinct())
+    """``docs`` with one document of each component; all columns as they are.
+
+    The one with the smallest doc_id stays, null last, of those the one with the smallest hash of its text; of rows that
+    repeat, one. Documents without a word stay, each. An empty table gives no rows.
+    """
+    found = cut(jaccard_components(docs, words=words, share=share).where("class_id is not null"))
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("first_hash"))
+    gone = cut(found.where(~stays).select(F.col("doc_id").alias("__lekhani_i"), F.col("text_hash").alias("__lekhani_h")).distinct())
     if gone.count() <= broadcast_rows:
         gone = F.broadcast(gone)
-    return x.join(gone, x["doc_id"].cast("long").eqNullSafe(F.col("__lekhani_i")) & (x["__lekhani_x"] == F.col("__lekhani_h")), "left_anti").drop("__lekhani_x")
+    x = docs.withColumn("__lekhani_x", F.xxhash64("text")).withColumn("__lekhani_d", F.col("doc_id").cast("long"))
+    x = x.join(gone, F.col("__lekhani_d").eqNullSafe(F.col("__lekhani_i")) & (F.col("__lekhani_x") == F.col("__lekhani_h")), "left_anti")
+    twice = found.where(stays).groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias("__lekhani_i"), F.col("text_hash").alias("__lekhani_h"))
+    if not twice.isEmpty():  # rows that repeat, with no earlier copy: one of each stays
+        again = F.col("__lekhani_d").eqNullSafe(F.col("__lekhani_i")) & (F.col("__lekhani_x") == F.col("__lekhani_h"))
+        single = x.join(twice, again, "left_anti")
+        x = single.unionByName(x.join(twice, again, "left_semi").dropDuplicates(["__lekhani_d", "__lekhani_x"]))
+    return x.drop("__lekhani_x", "__lekhani_d")
