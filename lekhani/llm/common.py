@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import uuid
 from functools import reduce
 from operator import and_
 
@@ -34,6 +35,42 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Loop:
+    """The state of a loop as tables in the shared folder, one a round, and rows that are finished.
+
+    Unlike checkpoints, which keep the planner's estimate of their size, written tables have their own: in a loop with
+    joins estimates would double their digits each round, until planning takes longer than the work.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.last, self.n = spark, f"{shared_dir(spark)}/loop-{uuid.uuid4().hex}", None, 0
+
+    def put(self, df: DataFrame) -> DataFrame:
+        """Write the state of the next round; the one before is deleted, since ``df`` was all that needed it."""
+        self.n += 1
+        path, before = f"{self.folder}/{self.n}", self.last
+        df.write.parquet(path)
+        self.last = path
+        if before:
+            self._delete(before)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def add(self, df: DataFrame) -> None:
+        """Write rows that are finished."""
+        df.write.mode("append").parquet(f"{self.folder}/done")
+
+    def done(self, df: DataFrame) -> DataFrame:
+        """All finished rows, with the columns of ``df``; the last state is deleted."""
+        self.add(df.limit(0))  # so that there is a table
+        if self.last:
+            self._delete(self.last)
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/done")
+
+    def _delete(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def words(text: Column) -> Column:
     """Number of maximal runs without white space; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, attach, cut, ranks
+from .common import SPACE, Loop, attach, cut, ranks
 
 #: Runs that are not already one plain space.
 _RUNS = f"[\\x09-\\x0D][{SPACE}]*|\\x20[{SPACE}]+"
@@ -71,22 +71,20 @@ def exact_dedup(docs: DataFrame, *, block_bytes: int = 4096, bucket: Callable[[C
         often = several.join(each.groupBy("h", "unit").agg(F.count(F.lit(1)).alias("c")), ["h", "unit"])
         level = level.unionByName(attach(each, cut(often), {"h": "h", "unit": "unit"}, "c", total).select("rid", "blocks", "pos", "name"))
 
-    # The rows of texts that still have several names; the last name of each other text is put aside.
-    level = cut(level)
-    done, left = [level.where("blocks = 1").select("rid", "blocks", "name")], level.where("blocks > 1").withColumn("width", F.col("blocks"))
-    while not left.isEmpty():
+    loop, finished = Loop(docs.sparkSession), ["rid", "blocks", "name"]
+    level = loop.put(level.withColumn("width", F.col("blocks")))
+    while True:
+        loop.add(level.where("width = 1").select(*finished))
+        left = level.where("width > 1")
+        if left.isEmpty():
+            break
         half = F.floor(F.col("pos") / 2).cast("int")
         pairs = left.groupBy("rid", "blocks", "width", half.alias("pos")).agg(F.min(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("a"), F.min(F.when(F.col("pos") % 2 == 1, F.col("name"))).alias("b"))
         pairs = cut(pairs)
-        total = pairs.count()
         named = ranks(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")), ["a", "b"])
-        level = attach(pairs, cut(named), {"a": "a", "b": "b"}, "c", total)
-        level = cut(level.select("rid", "blocks", F.expr("(width + 1) div 2").cast("int").alias("width"), "pos", "name"))
-        done.append(level.where("width = 1").select("rid", "blocks", "name"))
-        left = level.where("width > 1")
-    state = done[0]
-    for part in done[1:]:
-        state = state.unionByName(part)
+        level = attach(pairs, cut(named), {"a": "a", "b": "b"}, "c", pairs.count())
+        level = loop.put(level.select("rid", "blocks", "pos", "name", F.expr("(width + 1) div 2").cast("int").alias("width")))
+    state = loop.done(level.select(*finished))
     rows = start.select(F.col("rid").alias("_rid"), "doc_id", "text_sha256", "n_bytes")
     state = cut(state.join(rows, F.col("rid") == F.col("_rid")).drop("_rid"))
 
