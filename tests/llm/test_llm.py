@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lekhani.llm import ann, dedup_blocks, jaccard, langid, mixing, packing, pii, sharding, token_files, url_templates
+from lekhani.llm import dedup_blocks, jaccard, langid, mixing, packing, pii, sharding, token_files, url_templates
 from lekhani.llm.encoding import Encoder
 from lekhani.llm.queries import tokenizer
 
@@ -180,22 +180,6 @@ def test_packing(docs, none):
     assert packing.pack(none, tokenizer("byte_bpe_50k.json")).count() == 0
 
 
-def test_nearest(spark):
-    rng = np.random.default_rng(5)
-    x = rng.standard_normal((400, 16))
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(400 + i, x[0].tolist()) for i in range(120)]
-    rows += [(1000, None), (1100, [0.0] * 16), (1200, [float("nan")] * 16), (1300, [1.0] * 3), (None, x[1].tolist())]
-    e = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = ann.search(e, F.col("vec_id") % 100 == 0, probe=1.0, block=64).collect()
-    good = [(i, np.array(v)) for i, v in rows if i is not None and i < 1000]
-    for q in (0, 100, 300, 400):
-        v = dict(good)[q]
-        want = sorted((float(np.sqrt(((w - v) ** 2).sum())), i) for i, w in good if i != q)[:10]
-        assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == [i for _, i in want]
-    assert {r["query_id"] for r in got} == {0, 100, 200, 300, 400, 500}
-    assert ann.search(e.where("vec_id < 0"), F.lit(True)).count() == 0
-
-
 def test_language(spark, none):
     r = random.Random(6)
     text = {"aa": "the of and to in that with", "bb": "der die und nicht ein ist mit"}
