@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lekhani.llm import dedup_blocks, jaccard, langid, mixing, packing, pii, sharding, token_files, url_templates
+from lekhani.llm import dedup_blocks, jaccard, langid, mixing, packing, sharding, token_files, url_templates
 from lekhani.llm.encoding import Encoder
 from lekhani.llm.queries import tokenizer
 
@@ -200,17 +200,3 @@ def test_urls(spark):
     assert [got[i]["verdict"] for i in range(4)] == ["allow", "block", "allow", "block"]
     assert (got[5]["host"], got[5]["path"], got[0]["host"]) == ("", "", "www.example.com")
     assert url_templates.filter_urls(pages.where("page_id < 0"), labels).count() == 0
-
-
-def test_personal_data(spark, none):
-    model = pii.train(pii.labelled_rows())
-    tests = pii.labelled_rows(200, seed=77)
-    got = pii.find_all([t for t, _ in tests], model)
-    right = sum(len(set(s) & set(g)) for (_, s), (_, g) in zip(tests, got, strict=True))
-    assert right >= 0.9 * sum(len(s) for _, s in tests)
-    assert right >= 0.9 * sum(len(g) for _, g in got)
-    assert all(set(b) <= set(g) for b, g in got)
-    rows = pii.find(spark.createDataFrame([(1, "mail a.b@c.de now"), (2, None)], "doc_id long, text string")).orderBy("doc_id").collect()
-    assert (rows[0]["n_email"], rows[0]["spans"]) == (1, "email:5:13")
-    assert rows[1]["base_sha256"] == hashlib.sha256(b"").hexdigest()
-    assert pii.find(none).count() == 0
