@@ -53,7 +53,8 @@ def exact_dedup(docs: DataFrame, *, block_bytes: int = 4096, bucket: Callable[[C
     clean = clean.withColumn("n", F.ceil(F.octet_length("bin") / block_bytes).cast("int")).withColumn("units", blocks)
 
     def distinct() -> DataFrame:
-        return clean.select(F.explode("units").alias("unit")).select(bucket(F.col("unit")).alias("h"), "unit").distinct()
+        # Outer, since the filter on empty arrays that the planner would add normalises the text again.
+        return clean.select(F.explode_outer("units").alias("unit")).select(bucket(F.col("unit")).alias("h"), "unit").distinct()
 
     one, several = _names_of(distinct)
     hashes = F.transform("units", lambda u: bucket(u))
