@@ -49,14 +49,17 @@ def spans(m: int, n: int) -> list[tuple[int, int]]:
 
 
 def table(spark: SparkSession, letters: int = 24, points: int = 64) -> DataFrame:
-    """One row for each pair of lengths: m, n, spans, cost. At most letters * points rows, so it can be broadcast."""
+    """One row for each pair of lengths: m, n, spans, cost; letters * points rows."""
     rows = [(m, n, spans(m, n), least_cost(m, n)) for m in range(1, letters + 1) for n in range(1, points + 1)]
     return spark.createDataFrame(rows, "m int, n int, spans array<struct<off: int, len: int>>, cost double")
 
 
 def aligned(pairs: DataFrame) -> DataFrame:
     """roman, dev -> with ``parts``, the letters of each code point, '' where it has none, and the cost. Words of clean pairs only."""
-    t = F.broadcast(table(pairs.sparkSession))
+    longest = pairs.agg(F.max(F.length("dev"))).first()[0] or 0
+    t = table(pairs.sparkSession, points=max(64, longest))
+    if longest <= 4096:  # 24 times so many rows can be sent to every task
+        t = F.broadcast(t)
     x = pairs.join(t, (F.length("roman") == F.col("m")) & (F.length("dev") == F.col("n")))
     return x.select("roman", "dev", F.transform("spans", lambda s: F.substring(F.col("roman"), s["off"] + 1, s["len"])).alias("parts"), "cost")
 

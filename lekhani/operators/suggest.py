@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import ascii_lower
 from . import fuzzy
 from .decode import Model, decode_all, rerank
 from .variants import expand
@@ -14,7 +15,8 @@ def suggest(queries: DataFrame, *, lexicon: DataFrame, learned: DataFrame, learn
     """roman -> roman, rank, dev, score: the ``count`` best.
 
     lexicon (roman, dev), learned (variant, dev: all confirmed spellings), learned_prefixes (prefix, dev, frequency).
-    The query itself is decoded; all its variants look up the lexicon (300 less their penalty), learned words that start
+    The query itself is decoded; all its variants look up the lexicon (300 less their penalty; case doesn't count there,
+    nor for the decoder), learned words that start
     so (180 and their frequency, the 3 * ``count`` most frequent) and near spellings (50 less 12 an edit). A word keeps
     its best score; ``context`` (dev, boost), if given, adds to those of learned words. Ties by dev.
     """
@@ -24,7 +26,8 @@ def suggest(queries: DataFrame, *, lexicon: DataFrame, learned: DataFrame, learn
         best = rerank(decode_all(queries, model, 4 * count), lexicon, weights)
         fresh = F.greatest(F.lit(1), F.round(800 / (1 + F.greatest(F.lit(0.0), -F.col("rscore")))))
         found.append(best.select("roman", "dev", fresh.cast("long").alias("score")))
-    exact = forms.join(lexicon.select(F.col("roman").alias("variant"), "dev").distinct(), "variant")
+    known = lexicon.select(ascii_lower(F.col("roman")).alias("low"), "dev").distinct()
+    exact = forms.withColumn("low", ascii_lower(F.col("variant"))).join(known, "low")
     found.append(exact.select("roman", "dev", F.greatest(F.lit(0), 300 - F.col("penalty")).cast("long").alias("score")))
     top = Window.partitionBy("roman", "variant").orderBy(F.col("frequency").desc(), "dev")
     starts = forms.join(learned_prefixes.select(F.col("prefix").alias("variant"), "dev", "frequency").distinct(), "variant")

@@ -27,6 +27,21 @@ def model_summary(emission: DataFrame, segs: DataFrame) -> DataFrame:
     return row.unpivot([], names, "name", "value")
 
 
+def valid(emission: DataFrame, lm: dict[str, DataFrame]) -> bool:
+    """Whether a model has syllables, and each of them what the decoder reads: a start, a unigram, a back-off weight.
+
+    lm: as ``decode.load``. Syllables of emissions and of bigrams must be among those of the unigrams.
+    """
+    known = lm["unigram"].select("a")
+    if known.isEmpty() or known.groupBy("a").count().where("count > 1").limit(1).count():
+        return False
+    for other in (lm["start"], lm["backoff"]):
+        if known.join(other, "a", "left_anti").limit(1).count() or other.join(known, "a", "left_anti").limit(1).count():
+            return False
+    used = emission.select("a").unionByName(lm["bigram"].select("a")).unionByName(lm["bigram"].select(F.col("b").alias("a")))
+    return not used.distinct().join(known, "a", "left_anti").limit(1).count()
+
+
 def pack_chunk(chunk: Column) -> Column:
     """A chunk as an integer: five bits a byte from the lowest, the number of bytes from bit 26; bytes but a-z are 26.
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from collections.abc import Iterator
 
-from ..plans.runtime import cut
+import pandas as pd
+from pyspark.sql import DataFrame
+
+from ..plans.runtime import spread
 
 # Fixed values: (from, to, cost) of the rewrite rules.
 RULES = [
@@ -18,30 +20,38 @@ RULES = [
 NOT_SHORT = ("a", "i", "u")
 
 
-def expand(queries: DataFrame, *, most: int = 6, most_cost: int = 4) -> DataFrame:
-    """roman -> (roman, variant, penalty, rank): the ``most`` cheapest rewrites of each query, itself first.
+def rewrites(roman: str, most: int) -> list[tuple[str, int]]:
+    """The ``most`` cheapest rewrites of a word with their costs. Ties: longer, then by letters.
 
-    One pass over the letters: at each place a letter is copied, or a rule that fits there is applied at its cost, to
-    the query, never to what rules wrote. Ties: longer, then by letters. All queries advance together, a letter a
-    round; rewrites of one query that have read and written the same keep the cheapest.
+    One pass over the letters: at each place a letter is copied, or a rule that fits there is applied at its cost, to the
+    word, never to what rules wrote. Of what has been written up to a place only the ``most`` best are kept: each rewrite
+    of the rest keeps their order, so none beyond them can be among the best of the whole.
     """
-    state = queries.select("roman").distinct().select("roman", F.lit(0).alias("at"), F.lit("").alias("out"), F.lit(0).alias("cost"))
-    longest = queries.agg(F.max(F.length("roman"))).first()[0] or 0
-    for place in range(longest):
-        here = state.where((F.col("at") == place) & (F.length("roman") > place))
-        steps = [F.struct(F.lit(1).alias("n"), F.substring("roman", place + 1, 1).alias("w"), F.lit(0).alias("c"))]
-        for a, b, c in RULES:
-            fits = F.substring("roman", place + 1, len(a)) == a
-            if a in NOT_SHORT:
-                fits = fits & (F.length("roman") > 2)
-            steps.append(F.when(fits, F.struct(F.lit(len(a)).alias("n"), F.lit(b).alias("w"), F.lit(c).alias("c"))))
-        grown = here.withColumn("s", F.explode(F.filter(F.array(*steps), lambda s: s.isNotNull())))
-        grown = grown.select("roman", (F.col("at") + F.col("s.n")).alias("at"), F.concat("out", "s.w").alias("out"), (F.col("cost") + F.col("s.c")).alias("cost"))
-        rest = state.where((F.col("at") != place) | (F.length("roman") <= place))
-        state = rest.unionByName(grown.where(F.col("cost") <= most_cost)).groupBy("roman", "at", "out").agg(F.min("cost").alias("cost"))
-        if place % 4 == 3:
-            state = cut(state)
-    done = state.where(F.col("at") == F.length("roman"))
-    order = Window.partitionBy("roman").orderBy("cost", F.octet_length("out").desc(), "out")
-    found = done.groupBy("roman", "out").agg(F.min("cost").alias("cost")).withColumn("rank", F.row_number().over(order))
-    return found.where(F.col("rank") <= most).select("roman", F.col("out").alias("variant"), F.col("cost").alias("penalty"), "rank")
+    size = len(roman)
+    reached: list[dict[str, int]] = [{} for _ in range(size + 1)]
+    reached[0][""] = 0
+    rules = [r for r in RULES if size > 2 or r[0] not in NOT_SHORT]
+    order = lambda x: (x[1], -len(x[0].encode("utf-8", "surrogatepass")), x[0])
+    for at in range(size + 1):
+        best = sorted(reached[at].items(), key=order)[:most]
+        if at == size:
+            return best
+        steps = [(1, roman[at], 0), *((len(a), b, c) for a, b, c in rules if roman.startswith(a, at))]
+        for written, cost in best:
+            for n, more, extra in steps:
+                there, out = reached[at + n], written + more
+                if cost + extra < there.get(out, cost + extra + 1):
+                    there[out] = cost + extra
+    return []
+
+
+def expand(queries: DataFrame, *, most: int = 6) -> DataFrame:
+    """roman -> (roman, variant, penalty, rank): the ``most`` cheapest rewrites of each query, itself first."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(r, v, c, i) for r in f["roman"] for i, (v, c) in enumerate(rewrites(r, most), 1)]
+            yield pd.DataFrame(rows, columns=["roman", "variant", "penalty", "rank"])
+
+    words = queries.select("roman").where("roman is not null").distinct()
+    return spread(words, "roman").mapInPandas(run, "roman string, variant string, penalty int, rank int")

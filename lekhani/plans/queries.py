@@ -13,16 +13,26 @@ from ..operators import align, decode, em, evaluate, fuzzy, summary, variants
 from ..operators import suggest as ranking
 from ..sources import corpus as src
 from ..sources.corpus import SOURCE_SQL, SOURCES
-from .catalogue import CATALOGUE
-from .oracles import ALIGN_ORACLES, bootstrap_sql
+from .catalogue import CATALOGUE, COUNTS
+from .oracles import ALIGN_ORACLES, DELETES, FUZZY, OUTCOME_SQL, SQUASH, bootstrap_sql, search_sql
+from .runtime import cut
+
+
+def _sources(spark: SparkSession, sf_dir: str, uses: list[str]) -> dict[str, DataFrame]:
+    """The named inputs. Syllables of words that several of them need are derived once, and counts are made once."""
+    counted = [u for u in uses if u in COUNTS]
+    segs = cut(SOURCES["segs"](spark, sf_dir)) if counted else None
+    found = {u: cut(spark.sql(COUNTS[u], segs=segs)) for u in counted}
+    return found | {u: segs if u == "segs" and segs is not None else SOURCES[u](spark, sf_dir) for u in uses if u not in COUNTS}
 
 
 def _stated(uses: list[str], sql: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: spark.sql(sql, **{u: SOURCES[u](spark, sf_dir) for u in uses})
+    return lambda spark, sf_dir: spark.sql(sql, **_sources(spark, sf_dir, uses))
 
 
 def _checked(uses: list[str], sql: str) -> str:
-    tables = ",\n".join(f"{u} AS ({SOURCE_SQL[u]})" for u in uses)
+    named = ["segs", *uses] if any(u in COUNTS for u in uses) and "segs" not in uses else uses
+    tables = ",\n".join(f"{u} AS ({COUNTS[u].format(segs='segs') if u in COUNTS else SOURCE_SQL[u]})" for u in named)
     body = sql.format(**{u: u for u in uses})
     return f"WITH {tables}\nSELECT * FROM ({body})"
 
@@ -31,23 +41,22 @@ QUERIES = {name: _stated(uses, sql) for name, (uses, sql, *_) in CATALOGUE.items
 ORACLES = {name: _checked(uses, other[0] if other else sql) for name, (uses, sql, *other) in CATALOGUE.items()}
 
 _LM = {"start": "word_start", "unigram": "kn_unigram", "backoff": "kn_backoff", "bigram": "kn_bigram", "trigram": "kn_trigram", "trigram_backoff": "kn_trigram_backoff"}
-_MODELS: dict = {}
 
 
 def _emission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = {"emission": em.train(src.corpus(spark, sf_dir))}
-    return _MODELS[key]["emission"]
+    return em.train(src.corpus(spark, sf_dir))
+
+
+def language_model(spark: SparkSession, pairs: DataFrame) -> dict[str, DataFrame]:
+    """The six tables that the decoder reads, from word pairs (roman, dev)."""
+    found: dict[str, DataFrame] = {"segs": cut(src.segs_of(pairs))}
+    found |= {u: cut(spark.sql(sql, segs=found["segs"])) for u, sql in COUNTS.items()}
+    return {k: cut(spark.sql(CATALOGUE[v][1], **{u: found[u] for u in CATALOGUE[v][0]})) for k, v in _LM.items()}
 
 
 def _model(spark: SparkSession, sf_dir: str) -> decode.Model:
-    emission = _emission(spark, sf_dir)
-    own = _MODELS[spark.sparkContext.applicationId, sf_dir]
-    if "model" not in own:
-        own["model"] = decode.load(spark, emission, {k: QUERIES[v](spark, sf_dir) for k, v in _LM.items()})
-    return own["model"]
+    pairs = cut(src.corpus(spark, sf_dir))
+    return decode.load(spark, em.train(pairs), language_model(spark, pairs), queries=src.query(spark, sf_dir))
 
 
 def _rounded(df: DataFrame, *cols: str) -> DataFrame:
@@ -65,26 +74,35 @@ def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.outcomes(_cases(spark, sf_dir), QUERIES["lexicon_prefix_topk"](spark, sf_dir))
 
 
-def _suggest(spark: SparkSession, sf_dir: str, count: int = 8) -> DataFrame:
+def _suggest(spark: SparkSession, sf_dir: str, count: int = 8, context: DataFrame | None = None) -> DataFrame:
     learned = src.confirm(spark, sf_dir).select(F.col("roman").alias("variant"), "dev").distinct()
-    return ranking.suggest(src.query(spark, sf_dir), lexicon=src.corpus(spark, sf_dir), learned=learned, learned_prefixes=src.learned_prefixes(spark, sf_dir), model=_model(spark, sf_dir), count=count)
+    return ranking.suggest(src.query(spark, sf_dir), lexicon=src.corpus(spark, sf_dir), learned=learned, learned_prefixes=src.learned_prefixes(spark, sf_dir), model=_model(spark, sf_dir), count=count, context=context)
+
+
+def _boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the word confirmed last adds to words that have followed it: dev, boost."""
+    last = src.confirm(spark, sf_dir).agg(F.max_by("dev", F.struct("uid", "turn", "pos")).alias("prev"))
+    return QUERIES["context_boost"](spark, sf_dir).join(F.broadcast(last), "prev").select("dev", "boost")  # one row
 
 
 def _suggest_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes of the ranker's 10 best."""
-    from ..plans.runtime import cut
-
     return cut(evaluate.outcomes(_cases(spark, sf_dir), _suggest(spark, sf_dir, 10)))
 
 
-def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..plans.runtime import cut
+def _stream(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     from ..streaming.learn import learn
 
     events = cut(src.confirm(spark, sf_dir))
     folder = f"{spark.sparkContext.getCheckpointDir()}/learn-{uuid.uuid4().hex}"
     events.select(F.col("uid").cast("long"), F.col("turn").cast("long"), F.col("pos").cast("int"), "roman", "dev").write.parquet(f"{folder}/events")
-    return learn(spark, f"{folder}/events", f"{folder}/state").select("dev", "frequency", F.size("variants").cast("long").alias("variants"), F.col("variants")[0].alias("first_variant"))
+    return learn(spark, f"{folder}/events", f"{folder}/state")
+
+
+def _stream_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming.learn import word_counts
+
+    return word_counts(_stream(spark, sf_dir)["words"]).select("dev", "frequency", F.size("variants").cast("long").alias("variants"), F.col("variants")[0].alias("first_variant"))
 
 
 def _fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +111,6 @@ def _fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..plans.runtime import cut
     from ..streaming.learn import learn_context
 
     events = cut(src.confirm(spark, sf_dir).select(F.col("uid").cast("long"), F.col("turn").cast("long"), F.col("pos").cast("int"), "roman", "dev"))
@@ -154,12 +171,17 @@ def _decoded_dev(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tuned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..plans.runtime import cut
-
     weights, hits = evaluate.tune(cut(_decoded_dev(spark, sf_dir)), _GRIDS)
     return spark.createDataFrame([(*weights, hits)], "w0 double, w1 double, w2 double, w3 double, hits long")
 
 
+def _recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many cases have their word among the decoder's 1, 5, 10 and 50 best."""
+    cases = src.query(spark, sf_dir).join(src.corpus(spark, sf_dir).select("roman"), "roman").agg(F.count(F.lit(1)).alias("total"))
+    found = _decoded_dev(spark, sf_dir).where("is_target").agg(*[F.count(F.when(F.col("pos") <= k, 1)).alias(f"in_{k}") for k in (1, 5, 10, 50)])
+    return cases.crossJoin(found)  # one row by one row
+
+
 def _means(out: DataFrame) -> DataFrame:
     return out.agg(F.count(F.lit(1)).alias("total"), F.round(F.avg("top1"), 6).alias("top1"), F.round(F.avg("top5"), 6).alias("top5"), F.round(F.avg("top10"), 6).alias("top10"), F.round(F.avg("rr"), 6).alias("mrr"))
 
@@ -186,11 +208,14 @@ QUERIES |= {
     "beam_decode": lambda s, d: _rounded(decode.decode_all(src.query(s, d), _model(s, d)), "emit", "lm"),
     "rerank_kbest": lambda s, d: _rounded(decode.rerank(decode.decode_all(src.query(s, d), _model(s, d), 32), src.corpus(s, d)), "rscore"),
     "suggest": _suggest,
+    "suggest_context": lambda s, d: _suggest(s, d, context=_boosts(s, d)),
+    "em_limited": lambda s, d: _rounded(em.train(src.corpus(s, d), iterations=4, limit=5000), "p"),
     "suggest_json": lambda s, d: ranking.as_json(_suggest(s, d)),
     "eval_hits": lambda s, d: _rounded(_outcomes(s, d), "rr"),
     "eval_rollup": lambda s, d: evaluate.rollup(_outcomes(s, d)),
     "bootstrap_ci": lambda s, d: evaluate.bootstrap(_outcomes(s, d)),
-    "stream_learn": _stream,
+    "stream_learn": _stream_words,
+    "stream_index": lambda s, d: _stream(s, d)["index"],
     "stream_context": _stream_context,
     "align_cost": lambda s, d: _rounded(align.aligned(_ready(s, d).select("roman", "dev")).select("roman", "dev", "cost"), "cost"),
     "top_emissions": lambda s, d: _rounded(summary.top_emissions(_seed_model(s, d)), "w"),
@@ -211,11 +236,9 @@ QUERIES |= {
     "suggest_bootstrap_ci": lambda s, d: evaluate.bootstrap(_suggest_outcomes(s, d)),
     "mert_objective": lambda s, d: evaluate.objective(_dev(s, d), _TRIED),
     "mert_grid": _tuned,
+    "kbest_recall": _recall,
 }
 _ = lambda *names: ",\n".join(f"{u} AS ({SOURCE_SQL[u]})" for u in names)
-_CUT = "list_transform(generate_series(1, length({0})), lambda i: {0}[1:i - 1] || {0}[i + 1:])"
-_DELETES = "list_distinct(list_concat([roman], list_concat(" + _CUT.format("roman") + ", flatten(list_transform(" + _CUT.format("roman") + ", lambda x: " + _CUT.replace("lambda i", "lambda j").replace("i - 1", "j - 1").replace("i + 1", "j + 1").format("x") + ")))))"
-_SQUASH = CATALOGUE["vowel_collapse"][2].removeprefix("SELECT roman, ").removesuffix(" AS collapsed FROM {corpus}")
 _HITS = f"""WITH {_("corpus", "query", "prefixes")},
 ranked AS ({CATALOGUE["lexicon_prefix_topk"][1].format(query="query", prefixes="prefixes")}),
 words AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS roman, lang FROM documents),
@@ -225,20 +248,14 @@ hits AS (SELECT c.roman, c.source, min(r.rank) AS r FROM cases c LEFT JOIN ranke
 o AS (SELECT roman, source, coalesce((r <= 1)::INT, 0) AS top1, coalesce((r <= 5)::INT, 0) AS top5, coalesce((r <= 10)::INT, 0) AS top10, coalesce(1.0e0 / r, 0e0) AS rr FROM hits)
 """
 ORACLES |= {
-    "delete_neighbourhood": f"WITH {_('confirm')} SELECT roman, unnest({_DELETES}) AS del FROM (SELECT DISTINCT roman FROM confirm)",
-    "fuzzy_match": f"""WITH {_('confirm', 'query')}, v AS (SELECT DISTINCT roman AS variant, dev FROM confirm),
-p AS (SELECT q.roman, v.variant, v.dev FROM query q JOIN v ON abs(length(q.roman) - length(v.variant)) <= 4),
-d AS (SELECT p.roman, dev, least(levenshtein(p.roman, variant), levenshtein({_SQUASH.replace('roman', 'p.roman')}, {_SQUASH.replace('roman', 'variant')})) AS d,
-  list_has_any((SELECT {_DELETES} FROM (SELECT p.roman AS roman)), (SELECT {_DELETES} FROM (SELECT p.variant AS roman))) AS near FROM p)
-SELECT roman, dev, min(d) AS distance FROM d WHERE d <= 2 AND near GROUP BY roman, dev""",
-    "eval_hits": _HITS + "SELECT roman, source, top1, top5, top10, round(rr, 6) AS rr FROM o",
-    "eval_rollup": _HITS + "SELECT source, count(*) AS total, sum(top1) AS top1, sum(top5) AS top5, sum(top10) AS top10, round(avg(rr), 6) AS mrr FROM o GROUP BY ROLLUP (source)",
+    "delete_neighbourhood": f"WITH {_('confirm')} SELECT roman, unnest({DELETES}) AS del FROM (SELECT DISTINCT roman FROM confirm)",
+    "fuzzy_match": f"WITH {_('confirm', 'query')}, {FUZZY} SELECT roman, dev, distance FROM near",
     "stream_learn": ORACLES["learned_words"],
+    "stream_index": f"WITH {_('confirm', 'query')}, {FUZZY} SELECT del, dev FROM near_ix",
     "stream_context": ORACLES["context_bigrams"],
-    "eval_mrr": _HITS + "SELECT count(*) AS total, round(avg(top1), 6) AS top1, round(avg(top5), 6) AS top5, round(avg(top10), 6) AS top10, round(avg(rr), 6) AS mrr FROM o",
-    "percentile_ci": _HITS + "SELECT source, round(quantile_cont(rr, 0.025), 6) AS low, round(quantile_cont(rr, 0.5), 6) AS middle, round(quantile_cont(rr, 0.975), 6) AS high FROM o GROUP BY source",
+    **{{"hits": "eval_hits", "rollup": "eval_rollup", "mrr": "eval_mrr"}.get(k, k): _HITS + v for k, v in OUTCOME_SQL.items()},
     "bootstrap_ci": bootstrap_sql(_HITS.rstrip()),
-    "bounded_edit": f"WITH {_('corpus')} SELECT roman, collapsed, CASE WHEN d <= 2 THEN d END AS distance FROM (SELECT roman, collapsed, levenshtein(roman, collapsed) AS d FROM (SELECT roman, {_SQUASH} AS collapsed FROM corpus))",
+    "bounded_edit": f"WITH {_('corpus')} SELECT roman, collapsed, CASE WHEN d <= 2 THEN d END AS distance FROM (SELECT roman, collapsed, levenshtein(roman, collapsed) AS d FROM (SELECT roman, {SQUASH} AS collapsed FROM corpus))",
     "tsv_parse": f"WITH {_('corpus')} SELECT roman, dev || '|' || array_to_string(list_reverse(regexp_extract_all(dev, '[\\s\\S]')), '') AS targets FROM corpus",
     "jsonl_parse": f"WITH {_('corpus')} SELECT roman, dev FROM corpus WHERE length(roman) % 7 <> 0",
     "mert_objective": f"""WITH {_("corpus", "query", "prefixes")},
@@ -248,5 +265,5 @@ tried(i, a, b, c, d) AS (VALUES {", ".join(str((i, *w)) for i, w in enumerate(_T
 scored AS (SELECT i, roman, dev = target AS hit, row_number() OVER (PARTITION BY i, roman ORDER BY a * n - b * length(dev) - c * rank + d * (length(dev) = length(target))::INT DESC, rank) AS place FROM dev, tried)
 SELECT i, sum(hit::INT) AS hits FROM scored WHERE place = 1 GROUP BY i""",
 }
-ORACLES |= ALIGN_ORACLES
+ORACLES |= ALIGN_ORACLES | search_sql(_GRIDS)
 ORACLES["chunk_codes"] = ALIGN_ORACLES["seed_counts"].replace("SELECT a, chunk, n FROM seed", "SELECT chunk, (length(chunk) * (1 << 26) + list_sum(list_transform(generate_series(1, length(chunk)), lambda k: (ascii(chunk[k]) - 97) * (32 ** (k - 1)))))::BIGINT AS code FROM (SELECT DISTINCT chunk FROM seed) x")

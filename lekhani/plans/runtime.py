@@ -9,10 +9,17 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Go on from the shared checkpoint folder, so that loops don't grow their plan."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lekhani-"))
+    """Go on from the shared checkpoint folder, so that loops don't grow their plan.
+
+    Where ``spark.checkpoint.dir`` is absent a temporary folder is made if all runs in one process (``local``); on a
+    cluster it raises.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lekhani-"))
     return df.checkpoint()
 
 

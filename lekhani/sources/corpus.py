@@ -19,7 +19,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _tokens(text: str = "text"):
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0)), lambda t: F.length(t) <= 24)
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +86,7 @@ def learned_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 SOURCES = {f.__name__: f for f in (corpus, corpus_raw, segs, confirm, query, qsegs, prefixes, learned_prefixes)}
 
 _DUCK = derived("roman", group="\\", flag=", 'g'")
-_LIST = "list_filter(regexp_extract_all(lower({}), '[a-z]+'), lambda t: length(t) <= 24)"
+_LIST = "regexp_extract_all(lower({}), '[a-z]+')"
 #: The same inputs as SQL of the checking engine.
 SOURCE_SQL = {
     "corpus": f"SELECT roman, {_DUCK} AS dev FROM (SELECT DISTINCT unnest({_LIST.format('text')}) AS roman FROM documents)",

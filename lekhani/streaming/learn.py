@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -11,20 +10,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.fuzzy import add_variants
+from ..plans.runtime import cut
+from ..sources import state
+
 SCHEMA = "uid long, turn long, pos int, roman string, dev string"
 
 
-def learn(spark: SparkSession, folder: str, checkpoint: str) -> DataFrame:
-    """Read confirmations that are in ``folder`` as a stream until none is left: dev, frequency, variants.
+TABLES = {"words": "dev string, roman string, n long", "index": "del string, dev string", "batch": "id long"}
+
 
-    State is keyed by word; the checkpoint keeps it between runs.
+def learn(spark: SparkSession, folder: str, checkpoint: str) -> dict[str, DataFrame]:
+    """Read confirmations that are in ``folder`` as a stream until none is left: the tables learned so far.
+
+    words: each word's spellings and how often each was confirmed; index: what deletions leave of spellings, and of the
+    native form of each word, kept up with each batch. Both are snapshots in ``checkpoint``; a batch that is given again
+    after a failure is known by its number and changes nothing.
     """
-    name = f"learn_{uuid.uuid4().hex}"
+    store = f"{checkpoint}/tables"
+
+    def merge(batch: DataFrame, number: int) -> None:
+        s = batch.sparkSession
+        kept = state.load(s, store, TABLES)
+        if kept and (kept["batch"].first() or [-1])[0] >= number:
+            return
+        kept = kept or {k: s.createDataFrame([], v) for k, v in TABLES.items()}
+        known = kept["words"].select(F.col("roman").alias("variant"), "dev")
+        rows = cut(batch.where("roman <> '' AND dev <> ''").select(F.col("roman").alias("variant"), "dev"))
+        more, _ = add_variants(kept["index"], known, rows)
+        counts = rows.groupBy("dev", F.col("variant").alias("roman")).agg(F.count(F.lit(1)).alias("n"))
+        words = kept["words"].unionByName(counts).groupBy("dev", "roman").agg(F.sum("n").alias("n"))
+        state.save(s, store, {"words": words, "index": kept["index"].unionByName(more), "batch": s.createDataFrame([(number,)], TABLES["batch"])})
+
     events = spark.readStream.schema(SCHEMA).parquet(folder)
-    words = events.groupBy("dev").agg(F.count(F.lit(1)).alias("frequency"), F.array_sort(F.collect_set("roman")).alias("variants"))
-    q = words.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q = events.writeStream.foreachBatch(merge).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return state.load(spark, store, TABLES) or {k: spark.createDataFrame([], v) for k, v in TABLES.items()}
+
+
+def word_counts(words: DataFrame) -> DataFrame:
+    """dev, frequency, variants of the words learned."""
+    return words.groupBy("dev").agg(F.sum("n").alias("frequency"), F.array_sort(F.collect_set("roman")).alias("variants"))
 
 
 def _followers(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

@@ -55,7 +55,7 @@ def test_weights_are_searched_on_the_decoders_candidates(spark, tables, model):
     word = {r["roman"]: r["dev"] for r in src.corpus(spark, tables).collect()}
     cases = []
     for roman in sorted({r["roman"] for r in src.query(spark, tables).collect()} & word.keys()):
-        found = decode.decode(roman, 50, model, decode.Config(beam=128))
+        found = decode.decode([roman], 50, model, decode.Config(beam=128))[0]
         at = [x[0] for x in found]
         cases.append(([(-e, -lm, -float(n), float(dev == word[roman])) for dev, e, lm, n in found], at.index(word[roman]) if word[roman] in at else None))
     low = [0.25, 0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 3.0, 4.0]
