@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import tempfile
 import uuid
 from functools import reduce
 from operator import and_
@@ -19,13 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; without that setting it raises."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    Where the setting is absent a temporary folder is made if all runs in one process (``local``, as in tests); on a
+    cluster, whose machines don't share such a folder, it raises.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
+        if folder is None and not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lekhani-"))
     return sc.getCheckpointDir()
 
 
