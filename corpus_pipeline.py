@@ -2,6 +2,10 @@
 
 A stage gets the session, the documents that the stage before kept, and the folder of tables. Its result is written
 as Parquet and read again for the next one. All but the last return the columns of ``documents``.
+
+Nulls, empty texts, ties, repeated rows and empty tables: a null or empty text has no language, so the first stage drops
+it; rows that repeat become one in the second stage; a null doc_id is a document like others, the last of its group;
+extra columns pass through all stages but the last; an empty table gives an empty result with the same columns.
 """
 
 from __future__ import annotations
@@ -16,22 +20,22 @@ from lekhani.llm.queries import tokenizer
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is not known go."""
+    """Documents whose language is not known go: null, empty, without a letter, or unlike all profiles."""
     return langid.keep_identified(docs)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the one with the smallest doc_id stays."""
+    """Of equal texts, the one with the smallest doc_id stays, null last; of rows that repeat, one."""
     return dedup_blocks.drop_exact(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of texts with 80 % of five-word shingles in common, one document stays."""
+    """Of each component of texts with 80 % of five-word shingles in common, the one with the smallest doc_id stays."""
     return jaccard.drop_near(docs, words=5, share=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, none where it takes none; null sources are one source."""
     return mixing.mixed(docs)
 
 
@@ -53,6 +57,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``: pieces of documents and their places in sequences."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
