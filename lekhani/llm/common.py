@@ -98,12 +98,13 @@ def running(df: DataFrame, keys: list[str], bucket: str, order: list, value: str
     return joined.withColumn(out, F.col("_base") + F.sum(value).over(own)).drop("_base")
 
 
-def attach(rows: DataFrame, table: DataFrame, keys: dict[str, str], count: str, total: int, *, most: int = 50_000) -> DataFrame:
+def attach(rows: DataFrame, table: DataFrame, keys: dict[str, str], count: str, total: int, *, most: int = 100_000) -> DataFrame:
     """``rows`` joined with the columns of ``table``, which has one row a key; rows without one go. Nulls match.
 
     keys: column of ``rows`` -> column of ``table``, whose column ``count`` says how many rows a key has, of ``total``.
     Keys with over total / ``most`` rows, which are fewer than ``most``, are sent to every task, so that no task gets
-    all rows of a hot key; only rows of the others are shuffled. ``rows`` and ``table`` are read twice: cut them before.
+    all rows of a hot key; only rows of the others are shuffled. A table of at most ``most`` rows is sent whole, in a
+    plan of a third of the size. ``rows`` and ``table`` are read several times: cut them before.
     """
     limit = max(1000, -(-total // most))
     names = [f"__lekhani_a{i}" for i in range(len(keys))]
@@ -114,6 +115,8 @@ def attach(rows: DataFrame, table: DataFrame, keys: dict[str, str], count: str,
     def on(right: DataFrame) -> Column:
         return reduce(and_, [rows[k].eqNullSafe(right[n]) for k, n in zip(keys, names, strict=True)])
 
+    if table.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(t), on(t)).drop("__lekhani_n", *names)
     one = rows.join(F.broadcast(hot), on(hot))
     left = rows.join(F.broadcast(hot.select(*names)), on(hot), "left_anti")
     two = left.join(cold, reduce(and_, [left[k].eqNullSafe(cold[n]) for k, n in zip(keys, names, strict=True)]))
