@@ -20,6 +20,28 @@ def outcomes(cases: DataFrame, ranked: DataFrame) -> DataFrame:
     return hit.select("roman", "source", flag(1), flag(5), flag(10), F.coalesce(1 / F.col("r"), F.lit(0.0)).alias("rr"))
 
 
+def numbered_cases(cases: DataFrame, order: str, most: int | None = None) -> DataFrame:
+    """Cases with ``case_id``, their place by ``order`` from 1; the first ``most`` if given."""
+    x = numbered(cases, order, "_place").withColumn("case_id", F.col("_place") + 1).drop("_place")
+    return x if most is None else x.where(F.col("case_id") <= most)
+
+
+def case_outcomes(cases: DataFrame, ranked: DataFrame) -> DataFrame:
+    """cases (case_id, roman, targets array, source) against ranked (roman, dev, rank).
+
+    case_id, roman, source, top1, top5, top10, rr by the first of the ranked words that is any of the targets.
+    """
+    wanted = cases.select("case_id", "roman", "source", F.explode_outer(F.array_distinct("targets")).alias("dev"))
+    hit = wanted.join(ranked.select("roman", "dev", "rank"), ["roman", "dev"], "left").groupBy("case_id", "roman", "source").agg(F.min("rank").alias("r"))
+    flag = lambda k: F.coalesce((F.col("r") <= k).cast("int"), F.lit(0)).alias(f"top{k}")
+    return hit.select("case_id", "roman", "source", flag(1), flag(5), flag(10), F.coalesce(1 / F.col("r"), F.lit(0.0)).alias("rr"))
+
+
+def misses(out: DataFrame, most: int = 20, *, flag: str = "top10") -> DataFrame:
+    """The first ``most`` cases, by case_id, without a target among the best."""
+    return out.where(F.col(flag) == 0).orderBy("case_id").limit(most).select("case_id", "roman", "source")
+
+
 def rollup(out: DataFrame) -> DataFrame:
     """By source and over all (source null)."""
     return out.rollup("source").agg(F.count(F.lit(1)).alias("total"), F.sum("top1").alias("top1"), F.sum("top5").alias("top5"), F.sum("top10").alias("top10"), F.round(F.avg("rr"), 6).alias("mrr"))
@@ -33,17 +55,17 @@ def draws(i: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def bootstrap(out: DataFrame, *, resamples: int = 1000, seed: int = 42) -> DataFrame:
+def bootstrap(out: DataFrame, *, resamples: int = 1000, seed: int = 42, order: str = "roman") -> DataFrame:
     """95 % intervals of the mean top1, top5, top10 and rr: metric, low, high.
 
-    Draw j of resample r is number r * n + j of the stream; drawn places are counted for each resample, so that what is
-    joined is (resample, place, times), in tasks of some resamples each.
+    Outcomes are numbered by ``order``. Draw j of resample r is number r * n + j of the stream; drawn places are counted
+    for each resample, so that what is joined is (resample, place, times), in tasks of some resamples each.
     """
     spark = out.sparkSession
     n = out.count()
     if not n:
         return spark.createDataFrame([], "metric string, low double, high double")
-    placed = numbered(out, "roman", "place")
+    placed = numbered(out, order, "place")
 
     def draw(frames):
         for f in frames:

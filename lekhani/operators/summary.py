@@ -27,6 +27,17 @@ def model_summary(emission: DataFrame, segs: DataFrame) -> DataFrame:
     return row.unpivot([], names, "name", "value")
 
 
+def widest(emission: DataFrame, k: int = 10) -> DataFrame:
+    """a, n: the ``k`` syllables with the most emissions; ties by syllable."""
+    return emission.groupBy("a").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "a").limit(k)
+
+
+def probability(wanted: DataFrame, emission: DataFrame) -> DataFrame:
+    """wanted (a, chunk) -> a, chunk, w, p: weight and share of the emission; no weight and 0 where there is none."""
+    x = wanted.join(emission.select("a", "chunk", (-F.log("p")).alias("w")), ["a", "chunk"], "left")
+    return x.select("a", "chunk", "w", F.coalesce(F.exp(-F.col("w")), F.lit(0.0)).alias("p"))
+
+
 def valid(emission: DataFrame, lm: dict[str, DataFrame]) -> bool:
     """Whether a model has syllables, and each of them what the decoder reads: a start, a unigram, a back-off weight.
 

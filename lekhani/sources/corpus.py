@@ -5,11 +5,11 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import SYLLABLE, derived, syllables, trim_all
-from ..plans.runtime import spread
+from ..functions.text import SYLLABLE, ascii_lower, derived, syllables, trim_all
+from ..plans.runtime import numbered, spread
 
 PAIR = "`english word` STRING, `native word` STRING, source STRING"
 
@@ -103,27 +103,42 @@ SOURCE_SQL["learned_prefixes"] = f"SELECT roman[1:i] AS prefix, roman, dev, freq
 
 def parse_jsonl(lines: DataFrame, *, strict: bool = False) -> DataFrame:
     """Lines (value) of JSON word pairs -> roman, dev, source. Blank lines are skipped; others that don't parse are
-    dropped, or raise if ``strict``."""
-    x = lines.select(trim_all(F.col("value")).alias("value")).where("value <> ''")
+    dropped, or raise if ``strict``, with their number if ``lines`` has it as ``line``."""
+    number = [F.col("line")] if "line" in lines.columns else []
+    x = lines.select(trim_all(F.col("value")).alias("value"), *number).where("value <> ''")
     x = x.withColumn("r", F.from_json("value", PAIR))
     bad = F.col("r.english word").isNull() | F.col("r.native word").isNull()
     if strict:
-        x = x.withColumn("r", F.when(bad, F.raise_error(F.concat(F.lit("malformed line: "), "value")).cast(x.schema["r"].dataType)).otherwise(F.col("r")))
+        x = x.withColumn("r", F.when((F.col("value") != "") & bad, F.raise_error(_malformed(lines, "value")).cast(x.schema["r"].dataType)).otherwise(F.col("r")))
     else:
         x = x.where(~bad)
-    return x.select(F.col("r.english word").alias("roman"), F.col("r.native word").alias("dev"), F.col("r.source").alias("source"))
+    return x.select(F.col("r.english word").alias("roman"), F.col("r.native word").alias("dev"), F.col("r.source").alias("source"), *number)
+
+
+def _malformed(lines: DataFrame, value: str) -> Column:
+    head = F.concat(F.lit("malformed line "), F.col("line").cast("string"), F.lit(": ")) if "line" in lines.columns else F.lit("malformed line: ")
+    return F.concat(head, value)
+
+
+def line_counts(lines: DataFrame) -> DataFrame:
+    """One row: how many lines of JSON word pairs are good, and how many are skipped; blank ones are neither."""
+    x = lines.select(trim_all(F.col("value")).alias("value")).where("value <> ''").select(F.from_json("value", PAIR).alias("r"))
+    good = F.col("r.english word").isNotNull() & F.col("r.native word").isNotNull()
+    return x.agg(F.count_if(good).alias("good"), F.count_if(~good).alias("skipped"))
 
 
 def parse_tsv(lines: DataFrame) -> DataFrame:
     """Lines ``roman<TAB>target|target`` -> roman, targets. Blank lines and comments are skipped; no key or no target
     raises."""
-    x = lines.select(trim_all(F.col("value")).alias("v")).where("v <> '' AND v NOT LIKE '#%'")
+    number = [F.col("line")] if "line" in lines.columns else []
+    x = lines.select(trim_all(F.col("value")).alias("v"), *number).where("v <> '' AND v NOT LIKE '#%'")
     at = F.instr("v", "\t")
     roman = trim_all(F.substring("v", F.lit(1), F.greatest(at - 1, F.lit(0))))
     targets = F.filter(F.transform(F.split(F.substring("v", at + 1, F.length("v")), "\\|"), trim_all), lambda t: t != "")
-    x = x.select("v", roman.alias("roman"), targets.alias("targets"), at.alias("at"))
-    ok = (F.col("at") > 0) & (F.col("roman") != "") & (F.size("targets") > 0)
-    return x.select(F.when(ok, F.col("roman")).otherwise(F.raise_error(F.concat(F.lit("malformed line: "), "v")).cast("string")).alias("roman"), "targets")
+    x = x.select("v", *number, roman.alias("roman"), targets.alias("targets"), at.alias("at"))
+    skipped = (F.col("v") == "") | F.col("v").startswith("#")  # again, as filters on results may be applied first
+    ok = skipped | ((F.col("at") > 0) & (F.col("roman") != "") & (F.size("targets") > 0))
+    return x.select(F.when(ok, F.col("roman")).otherwise(F.raise_error(_malformed(lines, "v")).cast("string")).alias("roman"), "targets", *number)
 
 
 def read_pairs(spark: SparkSession, path: str, *, strict: bool = False) -> DataFrame:
@@ -132,6 +147,32 @@ def read_pairs(spark: SparkSession, path: str, *, strict: bool = False) -> DataF
     return parse_jsonl(lines, strict=strict) if path.lower().endswith((".json", ".jsonl")) else parse_tsv(lines)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value, line: the lines of a file with their numbers from 1."""
+    return numbered(spark.read.text(path).withColumn("_id", F.monotonically_increasing_id()), "_id", "line").select("value", (F.col("line") + 1).alias("line"))
+
+
+def read_cases(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """Evaluation cases of a file, the first ``most`` if given: case_id (number of the line), roman, targets, source.
+
+    .json and .jsonl hold one target a line, trimmed, and may name a source; other files are tab-separated. Pairs with
+    an empty side are left out of the former; a line that doesn't parse raises with its number.
+    """
+    lines = numbered_lines(spark, path)
+    if path.lower().endswith((".json", ".jsonl")):
+        x = parse_jsonl(lines, strict=True).select(F.col("line").alias("case_id"), trim_all(F.col("roman")).alias("roman"), F.array(trim_all(F.col("dev"))).alias("targets"), "source")
+        x = x.where("roman <> '' AND targets[0] <> ''")
+    else:
+        x = parse_tsv(lines).select(F.col("line").alias("case_id"), "roman", "targets", F.lit(None).cast("string").alias("source"))
+    return x if most is None else x.orderBy("case_id").limit(most)
+
+
+def read_sourced(spark: SparkSession, path: str) -> DataFrame:
+    """As ``read_cases`` of JSON lines, but bad lines are dropped and romans lower-cased."""
+    x = parse_jsonl(numbered_lines(spark, path))
+    return x.select(F.col("line").alias("case_id"), ascii_lower(trim_all(F.col("roman"))).alias("roman"), F.array(trim_all(F.col("dev"))).alias("targets"), "source").where("roman <> '' AND targets[0] <> ''")
+
+
 FEATURES = ("emission", "lm", "length", "lexicon")
 WEIGHTS = (1.0, 1.0, 0.0, 0.0)
 
