@@ -5,17 +5,18 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bounded_distance, deletes
 from ..operators import align, decode, em, evaluate, fuzzy, summary, variants
 from ..operators import suggest as ranking
+from ..sources import artifacts
 from ..sources import corpus as src
 from ..sources.corpus import SOURCE_SQL, SOURCES
 from .catalogue import CATALOGUE, COUNTS
 from .oracles import ALIGN_ORACLES, DELETES, FUZZY, OUTCOME_SQL, SQUASH, bootstrap_sql, search_sql
-from .runtime import cut
+from .runtime import cut, numbered
 
 
 def _sources(spark: SparkSession, sf_dir: str, uses: list[str]) -> dict[str, DataFrame]:
@@ -182,6 +183,38 @@ def _recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.crossJoin(found)  # one row by one row
 
 
+def _several(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known queries in order as cases, each with its word and that of the next known query with the same first letter."""
+    known = src.query(spark, sf_dir).join(src.corpus(spark, sf_dir), "roman")
+    after = Window.partitionBy(F.substring("roman", 1, 1)).orderBy("roman")
+    x = known.select("roman", F.array_compact(F.array("dev", F.lead("dev").over(after))).alias("targets"), F.substring("roman", 1, 1).alias("source"))
+    return evaluate.numbered_cases(x, "roman")
+
+
+def _several_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.case_outcomes(_several(spark, sf_dir), QUERIES["lexicon_prefix_topk"](spark, sf_dir))
+
+
+def _suggest_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 20 cases whose word is not among the ranker's 10 best."""
+    cases = _cases(spark, sf_dir).select("roman", F.array("dev").alias("targets"), "source")
+    out = evaluate.case_outcomes(evaluate.numbered_cases(cases, "roman"), _suggest(spark, sf_dir, 10))
+    return evaluate.misses(out, 20)
+
+
+def _union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of the corpus and confirmations as one lexicon, with how often each stands in them."""
+    both = src.corpus(spark, sf_dir).select("roman", "dev").unionByName(src.confirm(spark, sf_dir).select("roman", "dev"))
+    return artifacts.lexicon_of(both).join(both.groupBy("roman", "dev").agg(F.count(F.lit(1)).alias("n")), ["roman", "dev"])
+
+
+def _probed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight and share that the seeds give each syllable of the corpus for the letters m and its first spelling."""
+    model = cut(_seed_model(spark, sf_dir))
+    wanted = model.groupBy("a").agg(F.min("chunk").alias("c")).select("a", F.explode(F.array_distinct(F.array("c", F.lit("m")))).alias("chunk"))
+    return _rounded(summary.probability(wanted, model), "w", "p")
+
+
 def _means(out: DataFrame) -> DataFrame:
     return out.agg(F.count(F.lit(1)).alias("total"), F.round(F.avg("top1"), 6).alias("top1"), F.round(F.avg("top5"), 6).alias("top5"), F.round(F.avg("top10"), 6).alias("top10"), F.round(F.avg("rr"), 6).alias("mrr"))
 
@@ -237,6 +270,15 @@ QUERIES |= {
     "mert_objective": lambda s, d: evaluate.objective(_dev(s, d), _TRIED),
     "mert_grid": _tuned,
     "kbest_recall": _recall,
+    "eval_targets": lambda s, d: _rounded(_several_outcomes(s, d), "rr"),
+    "eval_misses": lambda s, d: evaluate.misses(_several_outcomes(s, d), 20, flag="top1"),
+    "eval_head": lambda s, d: evaluate.numbered_cases(_several(s, d).drop("case_id"), "roman", 50).select("case_id", "roman", F.array_join("targets", "|").alias("targets")),
+    "suggest_misses": _suggest_misses,
+    "lexicon_sorted": lambda s, d: numbered(artifacts.lexicon_of(src.corpus(s, d)), "roman", "place"),
+    "union_splits": _union,
+    "emission_prob": _probed,
+    "widest_syllables": lambda s, d: summary.widest(_seed_model(s, d), 10),
+    "jsonl_skipped": lambda s, d: src.line_counts(_lines(s, d, "jsonl")),
 }
 _ = lambda *names: ",\n".join(f"{u} AS ({SOURCE_SQL[u]})" for u in names)
 _HITS = f"""WITH {_("corpus", "query", "prefixes")},
@@ -266,4 +308,18 @@ scored AS (SELECT i, roman, dev = target AS hit, row_number() OVER (PARTITION BY
 SELECT i, sum(hit::INT) AS hits FROM scored WHERE place = 1 GROUP BY i""",
 }
 ORACLES |= ALIGN_ORACLES | search_sql(_GRIDS)
+_SEVERAL = f"""WITH {_("corpus", "query", "prefixes")},
+ranked AS ({CATALOGUE["lexicon_prefix_topk"][1].format(query="query", prefixes="prefixes")}),
+known AS (SELECT q.roman, c.dev, q.roman[1:1] AS source, row_number() OVER (ORDER BY q.roman) AS case_id FROM query q JOIN corpus c ON q.roman = c.roman),
+cases AS (SELECT *, lead(dev) OVER (PARTITION BY source ORDER BY roman) AS other FROM known),
+o AS (SELECT c.case_id, c.roman, c.source, (SELECT min(r.rank) FROM ranked r WHERE r.roman = c.roman AND r.dev IN (c.dev, coalesce(c.other, c.dev))) AS r FROM cases c)
+"""
+ORACLES |= {
+    "eval_targets": _SEVERAL + "SELECT case_id, roman, source, coalesce((r <= 1)::INT, 0) AS top1, coalesce((r <= 5)::INT, 0) AS top5, coalesce((r <= 10)::INT, 0) AS top10, round(coalesce(1e0 / r, 0e0), 6) AS rr FROM o",
+    "eval_misses": _SEVERAL + "SELECT case_id, roman, source FROM o WHERE coalesce(r, 9) > 1 ORDER BY case_id LIMIT 20",
+    "eval_head": _SEVERAL + "SELECT case_id, roman, concat_ws('|', dev, other) AS targets FROM cases WHERE case_id <= 50",
+    "lexicon_sorted": f"WITH {_('corpus')} SELECT roman, dev, row_number() OVER (ORDER BY roman) - 1 AS place FROM corpus WHERE regexp_full_match(roman, '[a-z]+') AND strlen(dev) <= 65535",
+    "union_splits": f"WITH {_('corpus', 'confirm')} SELECT roman, dev, sum(n)::BIGINT AS n FROM (SELECT roman, dev, 1 AS n FROM corpus UNION ALL SELECT roman, dev, count(*) FROM confirm GROUP BY roman, dev) x WHERE strlen(dev) <= 65535 GROUP BY roman, dev",
+    "jsonl_skipped": f"WITH {_('corpus')} SELECT count(*) FILTER (length(roman) % 7 <> 0) AS good, count(*) FILTER (length(roman) % 7 = 0) AS skipped FROM corpus",
+}
 ORACLES["chunk_codes"] = ALIGN_ORACLES["seed_counts"].replace("SELECT a, chunk, n FROM seed", "SELECT chunk, (length(chunk) * (1 << 26) + list_sum(list_transform(generate_series(1, length(chunk)), lambda k: (ascii(chunk[k]) - 97) * (32 ** (k - 1)))))::BIGINT AS code FROM (SELECT DISTINCT chunk FROM seed) x")
