@@ -271,7 +271,7 @@ means AS (SELECT r, avg(top1) AS top1, avg(top5) AS top5, avg(top10) AS top10, a
 #: The ranker's 10 best as outcomes, and each question about them.
 _RANKED = _with(_ENGINE, *_TRAINED, *_suggested(10), _CASES, _OUTCOMES)
 ALIGN_ORACLES |= {f"suggest_{k}": _RANKED + v for k, v in OUTCOME_SQL.items()}
-ALIGN_ORACLES["suggest_misses"] = _RANKED + "SELECT case_id, roman, source FROM (SELECT *, row_number() OVER (ORDER BY roman) AS case_id FROM o) x WHERE top10 = 0 ORDER BY case_id LIMIT 20"
+ALIGN_ORACLES["suggest_misses"] = _RANKED + "SELECT case_id, roman, source FROM (SELECT *, row_number() OVER (ORDER BY roman) AS case_id FROM o) x WHERE top1 = 0 ORDER BY case_id LIMIT 20"
 ALIGN_ORACLES["emission_prob"] = _with(["corpus"], *_SEEDED) + """SELECT w.a, w.chunk, round(0e0 - ln(e.p), 6) AS w, round(coalesce(e.p, 0e0), 6) AS p
 FROM (SELECT a, min(chunk) AS chunk FROM emission GROUP BY a UNION SELECT a, 'm' FROM emission) w LEFT JOIN emission e ON w.a = e.a AND w.chunk = e.chunk"""
 ALIGN_ORACLES["widest_syllables"] = _with(["corpus"], *_SEEDED) + "SELECT a, count(*) AS n FROM emission GROUP BY a ORDER BY n DESC, a LIMIT 10"
