@@ -155,7 +155,7 @@ def _dev(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TRIED = [(1.0, 1.0, 1.0, 1.0), (0.0, 1.0, 0.0, 0.0), (1.0, 0.0, 0.5, 0.0), (0.0, 0.0, 1.0, 2.0), (0.5, 2.0, 0.0, 1.0)]
 # Weights tried of emission, lm, length and lexicon.
-_GRIDS = [
+GRIDS = [
     [0.25, 0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 3.0, 4.0],
     [0.25, 0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 3.0, 4.0],
     [-1.0, -0.5, -0.25, -0.1, 0.0, 0.1, 0.25, 0.5, 1.0],
@@ -172,7 +172,7 @@ def _decoded_dev(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tuned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weights, hits = evaluate.tune(cut(_decoded_dev(spark, sf_dir)), _GRIDS)
+    weights, hits = evaluate.tune(cut(_decoded_dev(spark, sf_dir)), GRIDS)
     return spark.createDataFrame([(*weights, hits)], "w0 double, w1 double, w2 double, w3 double, hits long")
 
 
@@ -307,7 +307,7 @@ tried(i, a, b, c, d) AS (VALUES {", ".join(str((i, *w)) for i, w in enumerate(_T
 scored AS (SELECT i, roman, dev = target AS hit, row_number() OVER (PARTITION BY i, roman ORDER BY a * n - b * length(dev) - c * rank + d * (length(dev) = length(target))::INT DESC, rank) AS place FROM dev, tried)
 SELECT i, sum(hit::INT) AS hits FROM scored WHERE place = 1 GROUP BY i""",
 }
-ORACLES |= ALIGN_ORACLES | search_sql(_GRIDS)
+ORACLES |= ALIGN_ORACLES | search_sql(GRIDS)
 _SEVERAL = f"""WITH {_("corpus", "query", "prefixes")},
 ranked AS ({CATALOGUE["lexicon_prefix_topk"][1].format(query="query", prefixes="prefixes")}),
 known AS (SELECT q.roman, c.dev, q.roman[1:1] AS source, row_number() OVER (ORDER BY q.roman) AS case_id FROM query q JOIN corpus c ON q.roman = c.roman),

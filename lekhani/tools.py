@@ -13,13 +13,12 @@ from pyspark.sql import functions as F
 
 from .operators import decode, em, evaluate, summary
 from .operators.suggest import suggest
-from .plans.queries import language_model
+from .plans.queries import GRIDS, language_model
 from .plans.runtime import cut
 from .sources import artifacts
 from .sources import corpus as src
 
 Shown = dict[str, DataFrame]
-_GRIDS = [[0.25, 0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 3.0, 4.0]] * 2 + [[-1.0, -0.5, -0.25, -0.1, 0.0, 0.1, 0.25, 0.5, 1.0], [0.0, 2.0, 5.0, 10.0, 20.0, 40.0, 80.0, 160.0]]
 
 
 def _splits(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, DataFrame]:
@@ -60,7 +59,7 @@ def train_reranker(spark: SparkSession, a: argparse.Namespace) -> Shown:
     best = decode.decode_all(cases, _model(spark, a.model, cases, config), 50, config)
     dev = decode.featured(best, lexicon).join(cases.select("case_id", "roman", F.col("targets")[0].alias("target")), "roman")
     dev = cut(dev.select("case_id", F.col("rank").alias("pos"), "f", (F.col("dev") == F.col("target")).alias("is_target")))
-    weights, hits = evaluate.tune(dev, _GRIDS)
+    weights, hits = evaluate.tune(dev, GRIDS)
     src.write_weights(a.out, tuple(weights))
     rows = [(n, float(w)) for n, w in zip(src.FEATURES, weights, strict=True)]
     recall = dev.agg(F.count_distinct("case_id").alias("decoded"), F.count_if("is_target").alias("in_50"), F.lit(hits).alias("hits"))
